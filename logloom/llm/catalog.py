@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, packing, quality, urls
+from . import decontamination, licenses, packing, pii, quality, urls
 from .common import table
 
 #: Where the public tokenizers lie; a parameter of the packing operator.
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
 
 
+#: Key of the registered query; a parameter of the operator.
+PII_KEY = "a key for tests"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: ids by the byte-level BPE, then id 0, sequences of at most 1024 tokens."""
     import public_tokenizers
@@ -61,5 +69,5 @@ SELECT page_id, s.host, s.path, rule, coalesce(action, CASE WHEN spam THEN 'bloc
 FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path"""
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_quality_rules, op7_licenses, op8_urls, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op4_quality_rules, op7_licenses, op8_urls, op9_decontamination)}
 ORACLES = {"op8_urls": _op8_sql()}

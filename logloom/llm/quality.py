@@ -9,7 +9,9 @@ language. Text is never shuffled.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,11 @@ from pyspark.sql import functions as F
 from . import common
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-EXTRA = "upper_share double, symbol_share double, dup_line_share double, repeat_share double, bar_share double, mark_share double"
+EXTRA = "upper_share double, symbol_share double, dup_line_share double, stutter_share double, bar_share double, mark_share double"
 #: A statistic's floor: no document below it is rejected for that statistic.
-FLOORS = {"upper_share": 0.45, "symbol_share": 0.25, "dup_line_share": 0.35, "repeat_share": 0.2, "bar_share": 0.2, "mark_share": 0.3}
+FLOORS = {"upper_share": 0.45, "symbol_share": 0.25, "dup_line_share": 0.5, "stutter_share": 0.15, "bar_share": 0.2, "mark_share": 0.3}
 #: No fence lies above: beyond it a document is rejected in any group.
-CEILINGS = {"upper_share": 0.8, "symbol_share": 0.8, "dup_line_share": 0.8, "repeat_share": 0.3, "bar_share": 0.7, "mark_share": 0.7}
+CEILINGS = {"upper_share": 0.8, "symbol_share": 0.8, "dup_line_share": 0.8, "stutter_share": 0.5, "bar_share": 0.7, "mark_share": 0.7}
 #: Quartile distances beyond the upper quartile.
 SPREAD = 3.0
 #: Groups with fewer documents use the thresholds of their language, and such languages those of all documents.
@@ -77,7 +79,8 @@ def text_statistics(data: bytes) -> tuple:
     letters = upper + len(data) - len(data.translate(None, _LOWER))
     bars = words.count(b"|")
     marks = sum(w.endswith(b"!!") for w in words)
-    return (n, chars, symbols, dup, repeat, upper / max(1, letters), symbols / n, dup / len(lines), repeat / n, bars / n, marks / n)
+    stutter = sum(map(operator.eq, words, islice(words, 1, None)))
+    return (n, chars, symbols, dup, repeat, upper / max(1, letters), symbols / n, dup / len(lines), stutter / n, bars / n, marks / n)
 
 
 def with_statistics(docs: DataFrame, keep_text: bool = True) -> DataFrame:

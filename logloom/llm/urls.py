@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: The contract's rules. Action, rule.
 CONTRACT_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Listed canonical URLs that the method adds: whole hosts of spam, blocked at any path.
-LISTED_HOSTS = [f"{name}.example.{top}/" for name in ("casino-win", "cheap-pills", "spam-farm") for top in ("com", "net", "org")]
+LISTED_HOSTS = [f"{name}.example.{top}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 #: Most rules whose filter travels with the plan (16 bits each: 2 MB).
 BLOOM_RULES = 1_000_000
 _BITS_PER_WORD = 4
