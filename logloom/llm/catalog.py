@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, packing, pii, quality, urls
+from . import decontamination, licenses, packing, pii, quality, simhash, urls
 from .common import table
 
 #: Where the public tokenizers lie; a parameter of the packing operator.
@@ -33,6 +33,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"__ll_{x}").alias(x) for x in names))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: 3-word shingles, links at 2 or fewer differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -69,5 +74,5 @@ SELECT page_id, s.host, s.path, rule, coalesce(action, CASE WHEN spam THEN 'bloc
 FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path"""
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op4_quality_rules, op7_licenses, op8_urls, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op4_quality_rules, op5_simhash, op7_licenses, op8_urls, op9_decontamination)}
 ORACLES = {"op8_urls": _op8_sql()}
