@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, packing, pii, quality, simhash, urls
+from . import classifier, decontamination, html, licenses, packing, pii, quality, simhash, urls
 from .common import table
 
 #: Where the public tokenizers lie; a parameter of the packing operator.
@@ -38,6 +38,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", F.col("coverage") >= decontamination.THRESHOLD)
 
 
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op8_sql() -> str:
     rules = [(r, a, "false") for a, r in urls.CONTRACT_RULES] + [(r, "block", "true") for r in urls.LISTED_HOSTS]
     values = ", ".join(f"('{r}', '{a}', {x})" for r, a, x in rules)
@@ -74,5 +82,8 @@ SELECT page_id, s.host, s.path, rule, coalesce(action, CASE WHEN spam THEN 'bloc
 FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path"""
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_packing, op4_quality_rules, op5_simhash, op7_licenses, op8_urls, op9_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_packing, op4_quality_rules, op5_simhash, op6_html, op7_licenses, op8_urls, op9_decontamination, op10_classifier)
+}
 ORACLES = {"op8_urls": _op8_sql()}
