@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontamination, html, licenses, packing, pii, quality, simhash, urls
+from . import classifier, decontamination, html, licenses, packing, pii, quality, simhash, suffix_dedup, urls
 from .common import table
 
 #: Where the public tokenizers lie; a parameter of the packing operator.
@@ -27,6 +27,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -84,6 +88,6 @@ FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path"""
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_packing, op4_quality_rules, op5_simhash, op6_html, op7_licenses, op8_urls, op9_decontamination, op10_classifier)
+    for f in (op1_pii, op2_packing, op3_suffix_dedup, op4_quality_rules, op5_simhash, op6_html, op7_licenses, op8_urls, op9_decontamination, op10_classifier)
 }
 ORACLES = {"op8_urls": _op8_sql()}
