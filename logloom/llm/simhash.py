@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,6 +43,40 @@ def fingerprint(words: list[bytes], width: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def set_fingerprint(words: list[bytes]) -> int:
+    """The SimHash of the distinct words, which stays close where few words change."""
+    return fingerprint(sorted(set(words)), 1)
+
+
+def sketch(words: list[bytes], width: int) -> bytes:
+    """256 one-bit minimum hashes of the text's shingles: the share of differing bits estimates half of one minus their similarity.
+
+    One hash per shingle; its high byte says which of 256 minima it takes part in, and an empty one borrows from the next that is not.
+    """
+    n = max(1, len(words) - width + 1)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    h = np.unique(np.fromiter((digest(join(words[i : i + width]), SEED + 1) for i in range(n)), dtype=np.uint64, count=n))
+    bins, first = np.unique((h >> np.uint64(56)).astype(np.int64), return_index=True)
+    at = np.searchsorted(bins, np.arange(256)) % len(bins)
+    away = ((bins[at] - np.arange(256)) % 256).astype(np.uint64)
+    value = h[first][at] + away * np.uint64(0x9E3779B97F4A7C15)
+    value = (value ^ (value >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.packbits((value >> np.uint64(40)).astype(np.uint8) & 1).tobytes()
+
+
+def with_sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, __ll_fp (of the distinct words) and __ll_sk (sketch of the shingles) of each row of ``docs`` (doc_id, text)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.parts(batch):
+                words = [x.translate(_LOWER).split() for x in common.utf8(part.column(1))]
+                fps = np.array([set_fingerprint(w) for w in words], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array([sketch(w, width) for w in words], pa.binary())], ["doc_id", "__ll_fp", "__ll_sk"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, __ll_fp long, __ll_sk binary")
+
+
 def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """``docs``, of which the last column is the text, with that column replaced by __ll_fp (bigint, the same bits)."""
     kept = docs.schema[:-1]
@@ -119,8 +153,11 @@ class _Forest:
         return True
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning links among rows of equal key, rows being sorted by key: row i against row i + lag, all lags, in blocks."""
+def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
+    """Spanning links among rows of equal key, rows being sorted by key: row i against row i + lag, all lags, in blocks.
+
+    sketches: rows of four words; if given, a link also needs at most ``most`` differing bits there.
+    """
     links, forest = [], _Forest()
     at = np.arange(len(keys))
     last = np.searchsorted(keys, keys, side="right")
@@ -132,6 +169,8 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[i
         for begin in range(0, len(at), 4096):
             left = at[begin : begin + 4096]
             near = left[within(fps[left] ^ fps[left + lag], radius)]
+            if sketches is not None and len(near):
+                near = near[np.bitwise_count(sketches[near] ^ sketches[near + lag]).sum(axis=1) <= most]
             links += [(int(i), int(i) + lag) for i in near if forest.join(int(i), int(i) + lag)]
         lag += 1
 
@@ -168,11 +207,15 @@ def _fine_parts(parts: list[tuple[int, int]], radius: int) -> list[list[tuple[in
     return [x for x in out if x]
 
 
-def links(fps: DataFrame, radius: int, hot_bucket: int = 2048) -> DataFrame:
-    """(a, b): linked fingerprints among the distinct values of column __ll_fp; a spanning forest of each bucket's links."""
+def links(nodes: DataFrame, radius: int, hot_bucket: int = 2048, most: int | None = None) -> DataFrame:
+    """(a, b): linked nodes among ``nodes`` (rep, __ll_fp, and __ll_sk if ``most`` is given); a spanning forest of each bucket's links."""
     all_tables = tables(radius)
-    keyed = fps.select(
+    extra = [] if most is None else [F.col("__ll_sk").alias("sk")]
+    names = ["rep", "fp", *(["sk"] if extra else [])]
+    keyed = nodes.select(
+        "rep",
         F.col("__ll_fp").alias("fp"),
+        *extra,
         F.posexplode(F.array(*(_bits(F.col("__ll_fp"), parts) for parts in all_tables))).alias("t", "key"),
     )
     counts = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -182,32 +225,34 @@ def links(fps: DataFrame, radius: int, hot_bucket: int = 2048) -> DataFrame:
         cuts = F.array(*(F.struct(F.lit(1000 + t * 100 + i).alias("t"), F.xxhash64("key", _bits(F.col("fp"), cut)).alias("key")) for i, cut in enumerate(_fine_parts(parts, radius))))
         fine = F.when(F.col("t") == t, cuts).otherwise(fine)
     whole = F.array(F.struct(F.col("t"), F.col("key")))
-    dealt = sized.select("fp", F.explode(F.when(F.col("n") > hot_bucket, fine).otherwise(whole)).alias("k")).select("k.t", "k.key", "fp")
-    sorted_rows = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    dealt = sized.select(*names, F.explode(F.when(F.col("n") > hot_bucket, fine).otherwise(whole)).alias("k")).select("k.t", "k.key", *names)
+    sorted_rows = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "rep")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: pa.Table | None = None
 
-        def run(rows: np.ndarray) -> pa.RecordBatch:
-            t, key, fp = rows
+        def run(rows: pa.Table) -> pa.RecordBatch:
+            t, key, rep, fp = (rows.column(i).to_numpy().astype(np.int64) for i in range(4))
             change = np.concatenate([[0], np.cumsum((t[1:] != t[:-1]) | (key[1:] != key[:-1]))]) if len(t) else t
-            found = bucket_links(change, fp.view(np.uint64), radius)
-            a, b = (fp[[x[i] for x in found]] if found else fp[:0] for i in (0, 1))
+            sk = None if most is None else np.frombuffer(b"".join(rows.column(4).to_pylist()), dtype=np.uint64).reshape(-1, 4)
+            found = bucket_links(change, fp.view(np.uint64), radius, sk, most or 0)
+            a, b = (rep[[x[i] for x in found]] if found else rep[:0] for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
-            if held:
-                rows = np.concatenate([*held, rows], axis=1)
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
             # What belongs to the last bucket waits for its other rows.
-            cut = len(rows[0])
-            while cut and rows[0][cut - 1] == rows[0][-1] and rows[1][cut - 1] == rows[1][-1]:
-                cut -= 1
+            t, key = (rows.column(i).to_numpy() for i in (0, 1))
+            other = np.flatnonzero((t != t[-1]) | (key != key[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield run(np.ascontiguousarray(rows[:, :cut]))
-            held = [rows[:, cut:]]
-        if held:
-            yield run(np.ascontiguousarray(held[0]))
+                yield run(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield run(held)
 
     return sorted_rows.mapInArrow(compared, "a long, b long")
 
@@ -240,20 +285,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def classes(prints: DataFrame, radius: int, hot_bucket: int = 2048) -> DataFrame:
-    """(__ll_fp, component_id) for each fingerprint of ``prints`` (doc_id, __ll_fp): the smallest doc_id reachable from it.
+def classes(prints: DataFrame, radius: int, hot_bucket: int = 2048, most: int | None = None) -> DataFrame:
+    """(__ll_fp[, __ll_sk], component_id) for each distinct print of ``prints`` (doc_id, ...): the smallest doc_id reachable from it.
 
-    A fingerprint that only rows with a null doc_id have counts as no node: its component is null, and it links nothing.
+    A print that only rows with a null doc_id have is no node: its component is null, and it links nothing. Rows of one doc_id count as
+    one document, which links all of its prints.
     """
-    nodes = common.stored(prints.groupBy("__ll_fp").agg(F.min("doc_id").alias("rep")))
-    named = nodes.where("rep is not null")
-    found = common.stored(links(named, radius, hot_bucket))
-    reps = named.select(F.col("__ll_fp").alias("fp"), "rep")
-    edges = found.join(reps, found.a == reps.fp).select("b", F.col("rep").alias("x"))
-    edges = edges.join(reps, edges.b == reps.fp).select(F.col("x").alias("a"), F.col("rep").alias("b"))
-    grouped = components(edges)
-    joined = nodes.join(grouped, nodes.rep == grouped.node, "left")
-    return joined.select("__ll_fp", F.coalesce("component", "rep").alias("component_id"))
+    keys = ["__ll_fp"] if most is None else ["__ll_fp", "__ll_sk"]
+    nodes = common.stored(prints.groupBy(*keys).agg(F.min("doc_id").alias("rep")))
+    edges = common.stored(links(nodes.where("rep is not null"), radius, hot_bucket, most))
+    joined = nodes.join(components(edges), F.col("rep") == F.col("node"), "left")
+    return joined.select(*keys, F.coalesce("component", "rep").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, hot_bucket: int = 2048) -> DataFrame:
@@ -265,3 +307,28 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, hot_buc
     prints = common.stored(with_fingerprints(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("__ll_text")), width))
     joined = prints.join(classes(prints, radius, hot_bucket), "__ll_fp", "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("__ll_fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar_classes(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 6, hot_bucket: int = 2048) -> DataFrame:
+    """doc_id and component_id by similarity of word shingles: documents link from a Jaccard similarity of about ``similarity``.
+
+    Candidates are fingerprints of the distinct words within ``radius`` bits; a link also needs 256-bit sketches of the ``width``-word
+    shingles that differ in no more bits than the similarity less 0.05 lets expect (the sketch has a standard error of 0.04 there).
+    """
+    most = round(256 * (1 - (similarity - 0.05)) / 2)
+    prints = common.stored(with_sketches(docs, width))
+    return prints.join(classes(prints, radius, hot_bucket, most), ["__ll_fp", "__ll_sk"], "left").select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each class of ``similar_classes``, with the columns of ``docs``.
+
+    Of rows that share that doc_id the one with the first text stays. Rows with a null doc_id stay.
+    """
+    found = common.stored(similar_classes(docs, **options))
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__ll_id")).agg(F.count(F.lit(1)).alias("__ll_n"))
+    kept = docs.join(first, F.col("doc_id") == F.col("__ll_id"), "left").where("doc_id is null or __ll_n is not null")
+    if not first.where("__ll_n > 1").isEmpty():
+        order = Window.partitionBy("doc_id").orderBy("text")
+        kept = kept.withColumn("__ll_r", F.row_number().over(order)).where("doc_id is null or __ll_r = 1")
+    return kept.select(*docs.columns)
