@@ -242,11 +242,13 @@ def permute_text(key: str, name: str, x: Column, alphabets: list[str]) -> Column
         made = _once(stream, lambda s: F.array_join(F.transform(F.split(text, ""), lambda c, k: one(c, k, s)), ""))
         return F.when(F.length(text) > 0, made).otherwise("")
 
-    for i in range(ROUNDS):
+    def round_(i: int) -> Callable[[Column], Column]:
         if i % 2 == 0:
-            state = _once(state, lambda s, i=i: F.struct(moved(s["a"], s["b"], i).alias("a"), s["b"].alias("b")))
-        else:
-            state = _once(state, lambda s, i=i: F.struct(s["a"].alias("a"), moved(s["b"], s["a"], i).alias("b")))
+            return lambda s: F.struct(moved(s["a"], s["b"], i).alias("a"), s["b"].alias("b"))
+        return lambda s: F.struct(s["a"].alias("a"), moved(s["b"], s["a"], i).alias("b"))
+
+    for i in range(ROUNDS):
+        state = _once(state, round_(i))
     return _once(state, lambda s: F.concat(s["a"], s["b"]))
 
 
