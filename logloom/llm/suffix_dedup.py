@@ -31,9 +31,11 @@ from . import common
 
 LENGTH = 100
 GRAM = 32
+#: Bytes that a map task hashes at once; it needs about 60 times as much memory.
+PART_BYTES = 2 << 20
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
-_STEP = _RNG.integers(0, 1 << 64, (2, 8), dtype=np.uint64) | np.uint64(1)
+_STEP = _RNG.integers(0, 1 << 64, 8, dtype=np.uint64) | np.uint64(1)
 _LAST = np.iinfo(np.int64).max
 
 
@@ -44,18 +46,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of all substrings of lengths 1, 2, 4 .. 64 of ``data``, each from two of half its length."""
+    """Hashes of all substrings of lengths 32 and 64 of ``data``, each length from two of half of it. Shorter ones are not kept."""
 
-    def __init__(self, data: np.ndarray, family: int = 0):
-        self.levels = [_BYTE[data] if family == 0 else _mixed(_BYTE[data] + np.uint64(family))]
+    def __init__(self, data: np.ndarray):
+        h = _BYTE[data]
         for level in range(6):
             size = 1 << level
-            h = self.levels[-1]
-            self.levels.append(h[: max(0, len(h) - size)] * _STEP[family, level] + h[size:])
+            longer = h[: max(0, len(h) - size)] * _STEP[level]
+            longer += h[size:]
+            if size == GRAM:
+                self.short = h
+            h = longer
+        self.long = h
 
     def ranges(self, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         """The hash of data[start : start + length] for lengths from 64 to 184: three overlapping pieces of 64 bytes cover it."""
-        h = self.levels[6]
+        h = self.long
         length = np.asarray(length)
         end = start + length - 64
         middle = start + (length - 64) // 2
@@ -75,7 +81,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
         return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     hashes = Hashes(data)
     bits = np.uint64(max(24, n.bit_length()))
-    gram = _mixed(hashes.levels[5])
+    gram = _mixed(hashes.short)
     key = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)
     size = 1
     while size * 2 <= spread:
@@ -115,7 +121,7 @@ def _merged(doc: np.ndarray, off: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchor rows: spread (a partitioning key), context, doc, sub, pack."""
     for batch in batches:
-        for part in common.parts(batch, column=2):
+        for part in common.parts(batch, PART_BYTES, column=2):
             doc, sub = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             texts = common.utf8(part.column(2))
             order = np.lexsort((sub, doc))
