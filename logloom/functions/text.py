@@ -120,7 +120,7 @@ def ngrams(words: Column, n: int, drop_last: bool = False) -> Column:
 
 def fold_digits(word: Column) -> Column:
     r"""Runs of digits become ``\d``."""
-    return F.regexp_replace(word, "[0-9]+", r"\\\\d")
+    return F.regexp_replace(word, "[0-9]+", r"\\d")
 
 
 def valid_text(value: Column) -> Column:
