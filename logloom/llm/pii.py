@@ -37,16 +37,20 @@ def mix(key: str, name: str, i: int, half: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
-def feistel(key: str, name: str, value: Column, left_size: int, right_size: int) -> Column:
+def _size(x: int | Column) -> Column:
+    return (x if isinstance(x, Column) else F.lit(x)).cast("long")
+
+
+def feistel(key: str, name: str, value: Column, left_size: int | Column, right_size: int | Column) -> Column:
     """A keyed permutation of 0 .. left_size * right_size - 1.
 
     Each round adds a function of one half to the other, modulo that one's size, which can be undone whatever the function;
     ``inverse`` does so.
     """
-    right = F.lit(right_size).cast("long")
+    left, right = _size(left_size), _size(right_size)
     state = _once(value, lambda v: F.struct(F.call_function("div", v, right).alias("a"), F.pmod(v, right).alias("b")))
     for i in range(ROUNDS):
-        state = _round(key, name, i, state, F.lit(left_size).cast("long"), right, 1)
+        state = _round(key, name, i, state, left, right, 1)
     return _once(state, lambda s: s["a"] * right + s["b"])
 
 
@@ -61,12 +65,12 @@ def _round(key: str, name: str, i: int, state: Column, left_size: Column, right_
     return _once(state, lambda s: F.struct(s["a"].alias("a"), F.pmod(s["b"] + sign * F.pmod(mix(key, name, i, s["a"]), right_size), right_size).alias("b")))
 
 
-def inverse(key: str, name: str, value: Column, left_size: int, right_size: int) -> Column:
+def inverse(key: str, name: str, value: Column, left_size: int | Column, right_size: int | Column) -> Column:
     """Undo ``feistel``."""
-    right = F.lit(right_size).cast("long")
+    left, right = _size(left_size), _size(right_size)
     state = _once(value, lambda v: F.struct(F.call_function("div", v, right).alias("a"), F.pmod(v, right).alias("b")))
     for i in reversed(range(ROUNDS)):
-        state = _round(key, name, i, state, F.lit(left_size).cast("long"), right, -1)
+        state = _round(key, name, i, state, left, right, -1)
     return _once(state, lambda s: s["a"] * right + s["b"])
 
 
@@ -177,25 +181,30 @@ def _ssn(key: str, x: Column) -> Column:
 
 
 def _phone(key: str, x: Column) -> Column:
-    """North American numbers keep valid area and exchange codes; of others the country code's first digit stays."""
+    """North American numbers keep whether area and exchange codes are valid ones (200 and up); of others the country code's first
+    digits stay. Without +1 or brackets only numbers with valid codes count as phone numbers.
+    """
     digits = _only_digits(x)
     local = F.substr(digits, F.length(digits) - 9, F.lit(10))
     area, exchange, line = (F.substring(local, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
     american = ~x.rlike(r"^\+[2-9]")
-    valid = american & (F.length(digits).isin(10, 11)) & (area >= 200) & (exchange >= 200)
-    number = ((area - 200) * 800 + exchange - 200) * 10000 + line
+    marked = x.startswith("+") | x.contains("(")
+    valid = american & F.length(digits).isin(10, 11) & (marked | ((area >= 200) & (exchange >= 200)))
+    base = lambda code: F.when(code < 200, 0).otherwise(200)
+    size = lambda code: F.when(code < 200, 200).otherwise(800)
+    number = ((area - base(area)) * size(exchange) + exchange - base(exchange)) * 10000 + line
 
     def out(n: Column) -> Column:
         made = F.concat(
-            _pad(F.call_function("div", n, F.lit(8_000_000)) + 200, 3),
-            _pad(F.pmod(F.call_function("div", n, F.lit(10_000)), F.lit(800)) + 200, 3),
+            _pad(F.call_function("div", n, size(exchange).cast("long") * 10_000) + base(area), 3),
+            _pad(F.pmod(F.call_function("div", n, F.lit(10_000)), size(exchange)) + base(exchange), 3),
             _pad(F.pmod(n, F.lit(10_000)), 4),
         )
         return fill_format(x, F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), made))
 
     foreign = ~american & (F.length(digits) >= 8) & (F.length(digits) <= 15)
     other = fill_format(x, F.concat(F.substring(digits, 1, 2), permute_digits(key, "phone", F.substr(digits, F.lit(3)))))
-    return F.when(valid, _once(feistel(key, "nanp", number, 80_000, 80_000), out)).when(foreign, other).otherwise(x)
+    return F.when(valid, _once(feistel(key, "nanp", number, size(area) * 100, size(exchange) * 100), out)).when(foreign, other).otherwise(x)
 
 
 def _card(key: str, x: Column) -> Column:
@@ -295,7 +304,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and __ll_found and __ll_new: candidates and what stands for them, in order.
 
     A null text stays null and an empty one empty, both with null or empty lists; other columns pass as they are; repeated rows and
-    equal values anywhere get equal pseudonyms. Texts are scanned whole. The length of a text never changes.
+    equal values anywhere get equal pseudonyms. Texts are scanned whole. Pseudonyms are as long as what they stand for, but for the octets
+    of addresses.
     """
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
@@ -308,8 +318,12 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
 
 def protect_documents(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with pseudonyms in place of personal data and the same columns."""
-    return pseudonymise(docs, key).select(*docs.columns)
+    """``docs`` with pseudonyms in place of personal data and the same columns; n_chars, if there, follows the new text."""
+    made = pseudonymise(docs, key)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        made = made.withColumn("n_chars", F.when(F.size("__ll_found") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return made.select(*docs.columns)
 
 
 def report(docs: DataFrame, key: str) -> DataFrame:
