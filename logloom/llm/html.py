@@ -210,13 +210,13 @@ def main_region(root: Part) -> list[str]:
     if marked:
         most = max(x[0] for x in marked)
         close = [x for x in marked if x[0] >= 0.8 * most and x[0] > 0]
-        if close and most >= 0.25 * (root.mass - root.link):
+        if close and most >= 0.05 * (root.mass - root.link):
             return max(close, key=lambda x: (x[1], x[2]))[3]
     path, part = [], root
     while True:
         inner = [x for x in part.children if not x.junk and x.tag in CONTAINERS and x.sig != "#"]
         best = max(inner, key=lambda x: x.mass - x.link, default=None)
-        if best is None or best.mass - best.link < 0.7 * (part.mass - part.link) or best.mass == best.link:
+        if best is None or best.occurs in "+*" or best.mass - best.link < 0.7 * (part.mass - part.link) or best.mass == best.link:
             return path
         path.append(best.sig)
         part = best

@@ -10,6 +10,7 @@ Scale: one map over the documents. The compiled rules are a constant; nothing is
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -85,13 +86,13 @@ def _rules() -> list[tuple]:
         for name in names:
             for phrase, priority, weight in PHRASINGS:
                 for version in [*versions, ""]:
-                    tail = f"(?: (?:version|v|ver))? {version}" if version else ""
+                    tail = f"(?: (?:version|ver|v))? v?{version}" if version else ""
                     full = f"{label}-{version.removesuffix(' 0').replace(' ', '.')}" if version else label
                     keyword = max(name.split(), key=len)
                     made.append((full, phrase.format(name, tail), keyword, priority + (3 if version else 0), weight))
             for version in versions:
                 full = f"{label}-{version.removesuffix(' 0').replace(' ', '.')}"
-                made.append((full, f"{name}(?: (?:version|v|ver))? {version}", max(name.split(), key=len), 28, 0.85))
+                made.append((full, f"{name}(?: (?:version|ver|v))? v?{version}", max(name.split(), key=len), 28, 0.85))
     made += SINGLE_RULES
     made.sort(key=lambda r: (-r[3], -len(r[1]), r[1]))
     return [(a, re.compile(rf"(?<! ) {p}(?= )".encode()), k.encode(), q, w) for a, p, k, q, w in made]
@@ -104,11 +105,12 @@ def _fold() -> bytes:
 
 def suppress(found: list[tuple]) -> list[tuple]:
     """Keep, of (start, end, priority, weight, label), those that no kept one of higher or equal priority overlaps or contains."""
-    kept: list[tuple] = []
+    kept: list[tuple] = []  # sorted; none overlaps another, so only neighbours can overlap a new one
     for x in sorted(found, key=lambda r: (-r[2], r[0] - r[1], r[0], r[4])):
-        if not any(x[0] < y[1] and y[0] < x[1] for y in kept):
-            kept.append(x)
-    return sorted(kept)
+        at = bisect.bisect(kept, x[:2])
+        if not any(x[0] < y[1] and y[0] < x[1] for y in kept[max(0, at - 1) : at + 1]):
+            kept.insert(at, x)
+    return kept
 
 
 def scan(data: bytes, rules: list[tuple], fold: bytes, gates: re.Pattern) -> tuple:
@@ -119,11 +121,11 @@ def scan(data: bytes, rules: list[tuple], fold: bytes, gates: re.Pattern) -> tup
         return (len(words), 0, None, None, "", "", 0.0)
     places, base = [], set()
     for phrase, label in BASE_PHRASES.items():
-        target, at = f" {phrase} ".encode(), line.find(f" {phrase} ".encode())
-        while at >= 0:
-            places.append(line.count(b" ", 0, at))
+        target, at, before, word = f" {phrase} ".encode(), -1, 0, 0
+        while (at := line.find(target, at + 1)) >= 0:
+            word, before = word + line.count(b" ", before, at), at
+            places.append(word)
             base.add(label)
-            at = line.find(target, at + 1)
     present = set(words)
     found = []
     for label, pattern, keyword, priority, weight in rules:
