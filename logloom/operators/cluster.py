@@ -254,10 +254,13 @@ def merged_prefixes(lines: DataFrame, rules: VariableRules = DIGITS) -> DataFram
     distinct = primary.groupBy("ptpl").agg(F.count(F.lit(1)).alias("c"), F.min("lid").alias("pid"))
     literals = distinct.withColumn("lits", T.description(F.col("ptpl")))
     nodes = literals.select("pid", "c", "lits", F.posexplode("lits").alias("d", "w"))
-    named = nodes.withColumn("u", F.to_json(F.slice("lits", F.lit(1), F.col("d") + 1)))
-    node_counts = named.groupBy("u").agg(F.sum("c").alias("total"))
-    pairs = named.select("pid", "c", "u", F.col("d").alias("ud"), F.posexplode("lits").alias("d", "w")).where("d > ud")
-    sums = pairs.groupBy("u", "d", "w").agg(F.sum("c").alias("s")).join(node_counts, "u").where("s = total and s > 1").select("u", "d", "w")
+    prefix = F.slice("lits", F.lit(1), F.col("d") + 1)
+    named = nodes.withColumn("u", F.struct(F.xxhash64(prefix).alias("h"), F.hash(prefix).alias("i"), F.col("d")))  # 96 bits name a prefix
+    # A prefix of one message decides nothing, and most are such: they go before pairs are made.
+    node_counts = named.groupBy("u").agg(F.sum("c").alias("total")).where("total > 1")
+    shared = named.select("pid", "c", "lits", "u", "d").join(node_counts, "u")
+    pairs = shared.select("pid", "c", "u", "total", F.col("d").alias("ud"), F.posexplode("lits").alias("d", "w")).where("d > ud")
+    sums = pairs.groupBy("u", "d", "w").agg(F.sum("c").alias("s"), F.first("total").alias("total")).where("s = total").select("u", "d", "w")
     hits = pairs.join(sums, ["u", "d", "w"]).select("pid", "ud", "d")
     kept = hits.select("pid", F.explode(F.array("ud", "d")).alias("d")).groupBy("pid").agg(F.collect_set("d").alias("kept"))
     rank = F.transform("ptpl", lambda t, i: F.size(F.filter(F.slice("ptpl", F.lit(1), i + 1), lambda x: x != WILD)) - 1)
