@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,6 @@ RIDGE = 1e-3
 BINS = 1000
 SEED = 7
 
-_DIGITS = b"0123456789"
 _PUNCTUATION = bytes(b for b in range(33, 127) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123))
 
 
@@ -216,8 +216,8 @@ def score(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = sent.value.score(_matrix(batch, 2))
-            fold = pa.compute.equal(batch.column(1), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.fill_null(fold, False), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            fold = pc.equal(batch.column(1), 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.fill_null(fold, False), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return stats.select("doc_id", "__ll_fold", "__ll_x").mapInArrow(made, "doc_id long, held_out boolean, score double, predicted int")
 

@@ -27,6 +27,8 @@ SAMPLE = 16
 BROADCAST_BYTES = 16 << 20
 #: Template text is dropped from the article only if it is alike in so many pages.
 LEAST_PAGES = 6
+#: Children of two elements are aligned exactly up to this product of their numbers.
+MOST_CELLS = 1_000_000
 
 #: Fixed values of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -125,29 +127,64 @@ def _clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+def _structural(node: Node) -> bool:
+    """Whether an element is a block, holds one, or is no part of the text; all else is part of its block's text."""
+    if node.junk or node.tag in CELLS or (node.tag in BLOCK and node.tag != "br"):
+        return True
+    return any(isinstance(c, Node) and _structural(c) for c in node.children)
+
+
+def _flat(node: Node) -> str:
+    """The text of an element without structure; a line break counts as white space."""
+    return " " if node.tag == "br" else "".join(c if isinstance(c, str) else _flat(c) for c in node.children)
+
+
 def part_of(node: Node) -> Part:
-    """The wrapper of one page: like neighbours are folded into a repeated group."""
+    """The wrapper of one page: text with inline markup is one slot, and like neighbours are folded into a repeated group."""
     made = Part(node.sig, node.tag, node.junk)
+    pieces: list[str] = []
+    linked = 0
+
+    def close() -> None:
+        nonlocal linked
+        text = _clean("".join(pieces))
+        pieces.clear()
+        if text:
+            part = Part("#", "#", False)
+            part.constant, part.mass, part.link = text, len(text), linked
+            _add(made, part)
+        linked = 0
+
     for child in node.children:
         if isinstance(child, str):
-            text = _clean(child)
-            if not text:
-                continue
-            part = Part("#", "#", False)
-            part.constant, part.mass = text, len(text)
-        else:
-            part = part_of(child)
-        made.mass += 0 if part.junk else part.mass
-        made.link += 0 if part.junk else (part.mass if part.tag == "a" else part.link)
-        last = made.children[-1] if made.children else None
-        if last is not None and last.sig == part.sig and part.sig != "#":
-            _unite(last, part)
-            last.occurs, last.pages = "*" if last.occurs in "?*" else "+", 1
+            pieces.append(child)
+        elif _structural(child):
+            close()
+            _add(made, part_of(child))
         else:
-            made.children.append(part)
+            text = _flat(child)
+            pieces.append(text)
+            linked += len(text) if child.tag == "a" else 0
+    close()
     return made
 
 
+def _add(made: Part, part: Part) -> None:
+    """Append a child, folding repeats of one to three elements in a row."""
+    if not part.junk:
+        made.mass += part.mass
+        made.link += part.mass if part.tag == "a" else part.link
+    made.children.append(part)
+    for period in (1, 2, 3):
+        tail = made.children[-2 * period :]
+        if len(tail) == 2 * period and [x.sig for x in tail[:period]] == [x.sig for x in tail[period:]] and tail[-1].sig != "#":
+            for x, y in zip(tail[:period], tail[period:], strict=True):
+                _unite(x, y)
+                x.occurs, x.pages = "*" if x.occurs in "?*" else "+", 1
+            del made.children[-period:]
+            return
+
+
 def _joined(a: str, b: str) -> str:
     optional, repeated = a in "?*" or b in "?*", a in "+*" or b in "+*"
     return "*" if optional and repeated else "?" if optional else "+" if repeated else "1"
@@ -162,6 +199,9 @@ def _unite(a: Part, b: Part) -> None:
     n, m = len(a.children), len(b.children)
     if not n and not m:
         return
+    if n * m > MOST_CELLS:
+        _unite_wide(a, b)
+        return
     # The longest common subsequence of signatures says which children match.
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -184,6 +224,18 @@ def _unite(a: Part, b: Part) -> None:
     a.children = out
 
 
+def _unite_wide(a: Part, b: Part) -> None:
+    """Where too many children would have to be aligned: those of equal signature count as one repeated, optional element."""
+    first: dict[str, Part] = {}
+    for child in [*a.children, *b.children]:
+        if child.sig in first:
+            _unite(first[child.sig], child)
+        else:
+            first[child.sig] = child
+        first[child.sig].occurs = "*"
+    a.children = list(first.values())
+
+
 def expression(part: Part) -> str:
     """The wrapper as a union-free regular expression over tags, fixed texts and slots (#)."""
     if part.sig == "#":
@@ -299,8 +351,7 @@ def extract(text: str, wrapper: dict | None) -> str:
             if child.tag in BLOCK:
                 close()
                 here = f"{below}/{child.sig}" if fixed else ""
-                texts = [x for x in child.children if not isinstance(x, str) or not x.isspace()] if fixed else ()
-                if len(texts) == 1 and isinstance(texts[0], str) and (here, _clean(texts[0])) in fixed:
+                if fixed and not any(isinstance(x, Node) and _structural(x) for x in child.children) and (here, _clean(_flat(child))) in fixed:
                     continue
                 walk(child, here)
                 close()

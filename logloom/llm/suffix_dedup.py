@@ -118,36 +118,51 @@ def _merged(doc: np.ndarray, off: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return doc[new], off[new], np.add.reduceat(n, new)
 
 
+def _segments(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """Lists of (doc, sub, offset, bytes) in order, each list of about PART_BYTES; a longer text is cut, with an overlap that leaves every
+    window whole in one piece.
+    """
+    for part in common.parts(batch, PART_BYTES, column=2):
+        made: list[tuple] = []
+        rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), common.utf8(part.column(2)), strict=True)
+        for doc, sub, data in sorted(rows, key=lambda r: r[:2]):
+            if len(data) <= PART_BYTES:
+                made.append((doc, sub, 0, data))
+            else:
+                yield from ([(doc, sub, at, data[at : at + PART_BYTES + LENGTH - 1])] for at in range(0, len(data) - LENGTH + 1, PART_BYTES))
+        yield made
+
+
 def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor rows: spread (a partitioning key), context, doc, sub, pack."""
+    """Anchor rows: gram (spread anew for rows that are known to be repeats), context, doc, sub, pack, n."""
     for batch in batches:
-        for part in common.parts(batch, PART_BYTES, column=2):
-            doc, sub = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            texts = common.utf8(part.column(2))
-            order = np.lexsort((sub, doc))
-            data = np.frombuffer(b"".join(texts[i] for i in order), dtype=np.uint8)
-            ends = np.cumsum([len(texts[i]) for i in order])
+        for rows in _segments(batch):
+            data = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
+            sizes = np.array([len(r[3]) for r in rows], dtype=np.int64)
+            doc, sub, base = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+            ends = np.cumsum(sizes)
             first, last, anchor, gram, context = anchors(data, ends)
             owner = np.searchsorted(ends, first, side="right")
-            off = first - (ends[owner] - np.array([len(texts[i]) for i in order], dtype=np.int64)[owner]) if len(first) else first
+            off = first - (ends - sizes - base)[owner] if len(first) else first
             ranked = np.lexsort((first, context, gram))
             again = np.zeros(len(first), dtype=bool)
             if len(first):
                 again[ranked[1:]] = (gram[ranked[1:]] == gram[ranked[:-1]]) & (context[ranked[1:]] == context[ranked[:-1]])
             fresh = ~again
-            d, s, n = doc[order][owner], sub[order][owner], last - first + 1
+            n = last - first + 1
             o2, f2, n2 = _merged(owner[again], off[again], n[again])
+            spread = _mixed((doc[o2].astype(np.uint64) << np.uint64(20)) ^ f2.astype(np.uint64)).view(np.int64)
+            zero = np.zeros(len(o2), dtype=np.int64)
             out = [
-                np.concatenate([gram[fresh].view(np.int64), _mixed((o2.astype(np.uint64) << np.uint64(20)) ^ f2.astype(np.uint64)).view(np.int64)]),
-                np.concatenate([context[fresh].view(np.int64), np.zeros(len(o2), dtype=np.int64)]),
-                np.concatenate([d[fresh], doc[order][o2]]),
-                np.concatenate([s[fresh], sub[order][o2]]),
-                np.concatenate([_pack(off[fresh], n[fresh], (anchor - first)[fresh], np.int64(0)), _pack(f2, np.minimum(n2, 0), np.int64(0), np.int64(1))]),
+                np.concatenate([gram[fresh].view(np.int64), spread]),
+                np.concatenate([context[fresh].view(np.int64), zero]),
+                np.concatenate([doc[owner[fresh]], doc[o2]]),
+                np.concatenate([sub[owner[fresh]], sub[o2]]),
+                np.concatenate([_pack(off[fresh], n[fresh], (anchor - first)[fresh], np.int64(0)), _pack(f2, zero, np.int64(0), np.int64(1))]),
                 np.concatenate([n[fresh], n2]),
             ]
-            names = ["gram", "context", "doc", "sub", "pack", "n"]
             kinds = [*[pa.int64()] * 5, pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["gram", "context", "doc", "sub", "pack", "n"])
 
 
 def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

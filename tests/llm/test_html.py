@@ -55,6 +55,17 @@ def test_broken_markup():
         assert html.extract(page, None) == want, page
 
 
+def test_wide_pages_stay_fast():
+    import time
+
+    began = time.perf_counter()
+    made = ["<article>" + "".join(f"<p>{i} <b>x{k}</b> y<br>z</p>" + (f"<dl><dt>{i}<dd>{k}</dl>" if i % (7 + k) == 0 else "<h3>t</h3>" * (i % 5 == k)) for i in range(5000)) + "</article>" for k in range(3)]
+    wrapper = html.infer(made)
+    assert wrapper["path"][-1] == "article"
+    assert html.extract(made[1], wrapper).startswith("0 x1 y\nz\n0\n1\n1 x1 y\nz")
+    assert time.perf_counter() - began < 60
+
+
 def test_query_against_the_articles(spark, data):
     import re
 

@@ -55,6 +55,14 @@ def test_random_overlaps(spark, seed):
     assert all(bytes(r.kept) == want[r.doc_id][3] for r in got)
 
 
+def test_texts_longer_than_a_part(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 500)
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcd ") for _ in range(3000))
+    rows = [(1, long[:1700]), (2, "head " + long), (3, long[333:2222] + long[:900]), (4, "z" * 1500), (5, long[:498]), (6, long[:499]), (7, long[:500] + "y" * 110)]
+    check(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect(), brute_force(rows))
+
+
 def test_common_passage_with_different_neighbours(spark):
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(140))
