@@ -105,6 +105,8 @@ def parse(text: str) -> Node:
                 break
             del stack[closing:]
         node = _element(tag, raw)
+        if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
+            node.junk = True  # the page's header, not an article's
         stack[-1].children.append(node)
         if tag in RAW and not raw.endswith("/>"):
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
@@ -335,7 +337,7 @@ def extract(text: str, wrapper: dict | None) -> str:
     pieces: list[str] = []
 
     def close() -> None:
-        line = _clean("".join(pieces))
+        line = " ".join("".join(map(html.unescape, pieces)).split())
         if line:
             blocks.append(line)
         pieces.clear()

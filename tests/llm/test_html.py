@@ -50,6 +50,9 @@ def test_broken_markup():
         "<table><tr><td>a<td>b<tr><td>c</table>": "a b\nc",
         "<p>a &lt;b&gt; &#233; &am</p": "a <b> é &am",
         "<ul><li>1<li>2</ul>": "1\n2",
+        "<body><header>Site</header><p>text</p></body>": "text",
+        "<article><header><h1>Title</h1></header><p>text</p></article>": "Title\ntext",
+        "<p>&am<b>p;</b></p>": "&amp;",
     }
     for page, want in cases.items():
         assert html.extract(page, None) == want, page
