@@ -168,7 +168,7 @@ def samples_of_divided(labels: DataFrame, n: int = 1, aggregated: bool = False)
     cells = contingency(labels)
     broken = cells.groupBy(whole).agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
     order = Window.partitionBy(whole, part).orderBy("line_no")
-    return labels.join(broken, whole).withColumn("sample", F.row_number().over(order)).where(F.col("sample") <= n)
+    return labels.join(broken, whole).withColumn("sample", F.row_number().over(order).cast("long")).where(F.col("sample") <= n)
 
 
 def complete_clusters(labels: DataFrame) -> DataFrame:

@@ -151,4 +151,4 @@ def common_template(lines: DataFrame, by: str = "ltid") -> DataFrame:
 def top_values(values: DataFrame, n: int) -> DataFrame:
     """The ``n`` most frequent rows for each (ltid, vid) of values (ltid, vid, value, count, first_lid)."""
     order = Window.partitionBy("ltid", "vid").orderBy(F.desc("count"), "first_lid")
-    return values.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return values.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)

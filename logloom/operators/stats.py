@@ -90,7 +90,7 @@ def variable_values(log: DataFrame, lt: DataFrame, ltid: int | None = None) -> D
     chosen = log if ltid is None else log.where(F.col("ltid") == ltid)
     joined = chosen.join(lt.select("ltid", "ltw"), "ltid")
     values = joined.select("ltid", "lid", F.posexplode(T.variables(F.col("words"), F.col("ltw"))).alias("vid", "value"))
-    return values.groupBy("ltid", "vid", "value").agg(F.count(F.lit(1)).alias("count"), F.min("lid").alias("first_lid"))
+    return values.withColumn("vid", F.col("vid").cast("long")).groupBy("ltid", "vid", "value").agg(F.count(F.lit(1)).alias("count"), F.min("lid").alias("first_lid"))
 
 
 def variable_variety(log: DataFrame, lt: DataFrame) -> DataFrame:

@@ -438,7 +438,7 @@ def tpl_va_relative_variable(spark, d):
 
 
 DEFINITIONS = ["** user ** value ** k **", "click user ** value ** k **", "** user 7 value ** k **", "view user ** value ** ** 5", "error ** **"]
-DEFS = "defs(defid, d) AS (VALUES " + ", ".join(f"({i}, string_split('{x}', ' '))" for i, x in enumerate(DEFINITIONS)) + """),
+DEFS = "defs(defid, d) AS (VALUES " + ", ".join(f"({i}::bigint, string_split('{x}', ' '))" for i, x in enumerate(DEFINITIONS)) + """),
 fits AS (SELECT lid, defid, d, array_to_string([CASE WHEN x = '**' THEN '0' ELSE '1' END for x in d], '') AS bits FROM log_ev JOIN defs ON len(w) = len(d)
  AND len([i for i in generate_series(1, len(w)) if d[i] = '**' OR d[i] = w[i]]) = len(w))"""
 
