@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classifier, decontamination, html, licenses, packing, pii, quality, simhash, suffix_dedup, urls
-from .common import table
+from .common import spread, table
 
 #: Where the public tokenizers lie; a parameter of the packing operator.
 TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
@@ -24,22 +24,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: ids by the byte-level BPE, then id 0, sequences of at most 1024 tokens."""
     import public_tokenizers
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN)
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
+    judged = quality.judge(spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source"), keep_text=False)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select("doc_id", *(F.col(f"__ll_{x}").alias(x) for x in names))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: 3-word shingles, links at 2 or fewer differing bits."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")), width=3, radius=2)
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+    return licenses.scan_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +56,12 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of document and item with a shared seed, and whether it contaminates."""
-    found = decontamination.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.find_matches(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.withColumn("contaminated", F.col("coverage") >= decontamination.THRESHOLD)
 
 
 def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classifier.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def _op8_sql() -> str:
