@@ -24,37 +24,59 @@ def merged(a: list[str], b: list[str]) -> list[str]:
     return [x if x == y else WILD for x, y in zip(a, b, strict=True)]
 
 
-def ordered(lines: DataFrame, group: Column, miner: Callable[[], object], partitions: int | None = None) -> DataFrame:
+def ordered(lines: DataFrame, group: Column, miner: Callable[[], object], partitions: int | None = None, state: DataFrame | None = None) -> DataFrame:
     """lid, cid (a text: group and cluster number) and tpl (the cluster's template after the line) by streaming ordered groups.
 
     lines: lid and words, and counts if the miner wants them. miner() makes the state of a group; its add(words, counts) returns the
-    cluster's number and its template.
+    cluster's number and its template. state: the clusters of an earlier run (``cluster_state``), which the miner takes up by
+    resume(first, tpl) before the group's first line.
     """
+    none = F.lit(None).cast("array<string>").alias("tpl")
     extra = [F.col("counts")] if "counts" in lines.columns else [F.lit(None).cast("array<long>").alias("counts")]
-    keyed = lines.select(group.cast("string").alias("g"), "lid", "words", *extra)
+    keyed = lines.select(group.cast("string").alias("g"), "lid", "words", *extra, none)
+    if state is not None:
+        at = F.substring_index("cid", "/", -1).cast("long")
+        old = state.select(F.regexp_replace("cid", "/[0-9]+$", "").alias("g"), (F.lit(-(1 << 62)) + at).alias("lid"), F.col("first").alias("words"), F.lit(None).cast("array<long>").alias("counts"), "tpl")
+        keyed = keyed.unionByName(old)
     dealt = keyed.repartition(partitions, "g") if partitions else keyed.repartition("g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = object(), None
+        current, own = object(), None
         for batch in batches:
-            cids, tpls = [], []
-            for g, words, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            lids, cids, tpls = [], [], []
+            for g, lid, words, counts, old in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if g != current:
-                    current, state = g, miner()
-                cid, tpl = state.add(words, counts)
+                    current, own = g, miner()
+                if old is not None:
+                    own.resume(words, old)
+                    continue
+                cid, tpl = own.add(words, counts)
+                lids.append(lid)
                 cids.append(f"{g}/{cid}")
                 tpls.append(tpl)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cids, pa.string()), pa.array(tpls, pa.list_(pa.string()))], ["lid", "cid", "tpl"])
+            yield pa.RecordBatch.from_arrays([pa.array(lids, pa.int64()), pa.array(cids, pa.string()), pa.array(tpls, pa.list_(pa.string()))], ["lid", "cid", "tpl"])
 
     return dealt.sortWithinPartitions("g", "lid").mapInArrow(run, "lid long, cid string, tpl array<string>")
 
 
+def cluster_state(lines: DataFrame, mined: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """cid, first (its first line's words) and tpl of every cluster after a run: what ``state`` takes to go on with more lines."""
+    made = lines.select("lid", "words").join(mined, "lid").groupBy("cid").agg(F.min_by("words", "lid").alias("first"), F.max_by("tpl", "lid").alias("tpl"))
+    if before is None:
+        return made
+    old = before.select("cid", F.col("first").alias("f"), F.col("tpl").alias("t"))
+    return made.join(old, "cid", "full").select("cid", F.coalesce("f", "first").alias("first"), F.coalesce("tpl", "t").alias("tpl"))
+
+
 class Drain:
     """The clusters of one leaf: the most similar one takes a line if it is similar enough; ties go to the older."""
 
     def __init__(self, threshold: float = 0.3):
         self.threshold, self.templates = threshold, []
 
+    def resume(self, first: list[str], tpl: list[str]) -> None:
+        self.templates.append(list(tpl))
+
     def add(self, words: list[str], counts=None) -> tuple[int, list[str]]:
         best, found = 0.0, None
         for i, tpl in enumerate(self.templates):
@@ -75,10 +97,10 @@ def drain_leaf(tokens: Column, depth: int = 3) -> Column:
     return F.to_json(F.struct(F.size(tokens).alias("n"), literals.alias("p")))
 
 
-def drain(lines: DataFrame, threshold: float = 0.3, depth: int = 3, rules: VariableRules = DIGITS) -> DataFrame:
-    """Fixed-depth tree: lid, cid, tpl."""
+def drain(lines: DataFrame, threshold: float = 0.3, depth: int = 3, rules: VariableRules = DIGITS, state: DataFrame | None = None) -> DataFrame:
+    """Fixed-depth tree: lid, cid, tpl. state goes on from an earlier run."""
     masked = lines.select("lid", rules.template(F.col("words")).alias("words"))
-    return ordered(masked, drain_leaf(F.col("words"), depth), lambda: Drain(threshold))
+    return ordered(masked, drain_leaf(F.col("words"), depth), lambda: Drain(threshold), state=state)
 
 
 class Lenma:
@@ -93,6 +115,11 @@ class Lenma:
         self.lengths: list[list[int]] = []
         self.templates: list[list[str]] = []
 
+    def resume(self, first: list[str], tpl: list[str]) -> None:
+        self.first.append(list(tpl if self.evolve else first))
+        self.lengths.append([len(w) for w in first])
+        self.templates.append(list(tpl))
+
     def score(self, i: int, words: list[str]) -> float:
         own = self.first[i]
         if self.head_rule and words and own[0] != words[0]:
@@ -121,8 +148,9 @@ class Lenma:
         return i, self.templates[i]
 
 
-def lenma(lines: DataFrame, threshold: float = 0.9, n_same: int = 3, head_rule: bool = True, evolve: bool = False) -> DataFrame:
-    return ordered(lines.select("lid", "words"), F.size("words"), lambda: Lenma(threshold, n_same, head_rule, evolve))
+def lenma(lines: DataFrame, threshold: float = 0.9, n_same: int = 3, head_rule: bool = True, evolve: bool = False, state: DataFrame | None = None) -> DataFrame:
+    """Word-length clusters: lid, cid, tpl. state goes on from an earlier run."""
+    return ordered(lines.select("lid", "words"), F.size("words"), lambda: Lenma(threshold, n_same, head_rule, evolve), state=state)
 
 
 def letters(word: str) -> dict:

@@ -32,6 +32,12 @@ def search(log: DataFrame, *, groups: DataFrame | None = None, host_groups: Data
     if not given and limit is None:
         raise ValueError("no condition")
     out = log
+    if "day" in log.columns:  # a stored log is partitioned by day: bounds on times are bounds on partitions too
+        for name, value in given.items():
+            if name in ("dts", "date"):
+                out = out.where(F.col("day") >= F.to_date(_bound(str(value))))
+            if name in ("dte", "date"):
+                out = out.where(F.col("day") <= F.to_date(_bound(str(value))))
     for name, value in given.items():
         if name in ("lid", "ltid", "host"):
             out = out.where(F.col(name) == value)

@@ -65,6 +65,18 @@ def test_lenma(frame, lines):
     assert clusters(cluster.lenma(frame)) == expected(*ref.lenma(lines))
 
 
+@pytest.mark.parametrize("miner", [cluster.drain, cluster.lenma])
+def test_resumed_runs_equal_one_run(frame, miner):
+    whole = {r.lid: (r.cid, r.tpl) for r in miner(frame).collect()}
+    parts = [frame.where(F.col("lid") <= 150), frame.where((F.col("lid") > 150) & (F.col("lid") <= 300)), frame.where(F.col("lid") > 300)]
+    got, state = {}, None
+    for part in parts:
+        mined = miner(part, state=state).cache()
+        got |= {r.lid: (r.cid, r.tpl) for r in mined.collect()}
+        state = cluster.cluster_state(part, mined, state).cache()
+    assert got == whole
+
+
 def test_lenma_scores():
     c = cluster.Lenma(evolve=True)
     c.add(["proc", "X", "Y"])

@@ -150,6 +150,28 @@ def test_store(spark, tmp_path):
         LogStore(spark, str(tmp_path / "nothing"), "read")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_searches_prune_and_push_down(spark, tmp_path):
+    rows = [(i, i % 3, datetime(2020, 1, 1 + i % 9, 5), f"h{i % 4}", ["a", str(i)]) for i in range(90)]
+    log = spark.createDataFrame(rows, "lid long, ltid long, dt timestamp_ntz, host string, words array<string>")
+    store = LogStore(spark, str(tmp_path / "s"), "reset")
+    store.append("log", log)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    found = search.search(store.table("log"), dts="2020-01-03", dte="2020-01-05 06:00:00", host="h1").select("lid")
+    text = plan_of(found)
+    assert "day" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(host,h1)" in text and "GreaterThanOrEqual(dt," in text
+    assert "words" not in text.split("ReadSchema: ")[1]
+    want = [r[0] for r in rows if datetime(2020, 1, 3) <= r[2] < datetime(2020, 1, 5, 6) and r[3] == "h1"]
+    assert sorted(r.lid for r in found.collect()) == want
+    assert sorted(r.lid for r in search.search(store.table("log"), date="2020-01-04").collect()) == [r[0] for r in rows if r[2].day == 4]
+    semi = search.search(store.table("log"), groups=spark.createDataFrame([(1, 7)], "ltid long, ltgid long"), ltgid=7)
+    assert "LeftSemi" in plan_of(semi)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
