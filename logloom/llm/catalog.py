@@ -17,7 +17,7 @@ PII_KEY = "a key for tests"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.report(spread(table(spark, sf_dir, "documents")), PII_KEY)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,13 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables below so many bytes a core are dealt out anew.
+SMALL_BYTES = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table out anew if it has fewer partitions than there are cores, as one file of a single row group has.
+    """Deal a small table out over all cores: it may be one file with a single row group, which one task would read.
 
-    That never holds for large inputs, whose files are split, so no large table is shuffled for it.
+    The planner's size estimate decides, so no large table is ever shuffled for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
 
 
 def shared_folder(spark: SparkSession) -> str:
