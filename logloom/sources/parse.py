@@ -33,6 +33,20 @@ def expand_paths(paths: list[str], recursive: bool = False) -> list[str]:
     return out
 
 
+#: Tables below so many bytes a core are dealt out anew by ``deal_small``.
+SMALL_BYTES = 4 << 20
+
+
+def deal_small(df: DataFrame) -> DataFrame:
+    """Deal a small table out over all cores: it may be one file with a single row group, which one task would read.
+
+    The planner's size estimate decides, so no large table is ever shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
+
+
 def number_lines(df: DataFrame, block: Column, *order: Column, start: int = 1, name: str = "lid") -> DataFrame:
     """Dense numbers in the order of (block, order), without sorting everything in one task.
 
