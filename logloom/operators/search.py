@@ -130,4 +130,4 @@ def template_places(lt: DataFrame) -> DataFrame:
     places = lt.select("ltid", F.posexplode("ltw").alias("wid", "word"))
     is_var = (F.col("word") == T.WILDCARD).cast("int")
     running = F.sum(is_var).over(Window.partitionBy("ltid").orderBy("wid").rowsBetween(Window.unboundedPreceding, 0))
-    return places.select("ltid", "wid", "word", F.when(is_var == 1, running - 1).cast("long").alias("vid"))
+    return places.select("ltid", F.col("wid").cast("long").alias("wid"), "word", F.when(is_var == 1, running - 1).cast("long").alias("vid"))

@@ -215,7 +215,7 @@ def template_lines(spark, d):
 
 @query(
     """, p AS (SELECT ltid, unnest(tpl) AS word, generate_subscripts(tpl, 1) - 1 AS wid FROM lt)
-SELECT ltid, wid, word, CASE WHEN word = '**' THEN sum((word = '**')::int) OVER (PARTITION BY ltid ORDER BY wid) - 1 END AS vid FROM p""",
+SELECT ltid, wid, word, CASE WHEN word = '**' THEN sum((word = '**')::int) OVER (PARTITION BY ltid ORDER BY wid)::bigint - 1 END AS vid FROM p""",
     ev="ev",
 )
 def template_places(spark, d):
