@@ -11,7 +11,8 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -275,28 +276,67 @@ def merged_prefixes(lines: DataFrame, rules: VariableRules = DIGITS) -> DataFram
     """lid, tpl by prefix counts: variables by rule first; then a word is part of the template if, below some earlier place of the
     message, it stands at its depth in every message that shares the words up to that place, or if it is such an earlier place itself.
 
-    Depth counts literals only. The whole is relational: distinct primary templates with their counts, a row for each pair of an earlier
-    and a later literal, and sums; nothing has to be read in order.
+    Depth counts literals only. The fewer messages share the words up to a place, the sooner they agree further on, so the last place
+    before a word that several messages share decides. Where all of them go on with one word, two totals tell; only where they part are
+    their later words compared, up to the shortest message. Nothing has to be read in order, and a line of n words costs n rows and no
+    n x n pairs.
     """
     primary = lines.select("lid", rules.template(F.col("words")).alias("ptpl"))
     distinct = primary.groupBy("ptpl").agg(F.count(F.lit(1)).alias("c"), F.min("lid").alias("pid"))
     literals = distinct.withColumn("lits", T.description(F.col("ptpl")))
-    nodes = literals.select("pid", "c", "lits", F.posexplode("lits").alias("d", "w"))
-    prefix = F.slice("lits", F.lit(1), F.col("d") + 1)
-    named = nodes.withColumn("u", F.struct(F.xxhash64(prefix).alias("h"), F.hash(prefix).alias("i"), F.col("d")))  # 96 bits name a prefix
-    # A prefix of one message decides nothing, and most are such: they go before pairs are made.
-    node_counts = named.groupBy("u").agg(F.sum("c").alias("total")).where("total > 1")
-    shared = named.select("pid", "c", "lits", "u", "d").join(node_counts, "u")
-    pairs = shared.select("pid", "c", "u", "total", F.col("d").alias("ud"), F.posexplode("lits").alias("d", "w")).where("d > ud")
-    sums = pairs.groupBy("u", "d", "w").agg(F.sum("c").alias("s"), F.first("total").alias("total")).where("s = total").select("u", "d", "w")
-    hits = pairs.join(sums, ["u", "d", "w"]).select("pid", "ud", "d")
-    kept = hits.select("pid", F.explode(F.array("ud", "d")).alias("d")).groupBy("pid").agg(F.collect_set("d").alias("kept"))
-    rank = F.transform("ptpl", lambda t, i: F.size(F.filter(F.slice("ptpl", F.lit(1), i + 1), lambda x: x != WILD)) - 1)
-    tpl = F.transform(F.arrays_zip(F.col("ptpl").alias("t"), rank.alias("r")), lambda x: F.when((x["t"] != WILD) & F.array_contains(F.coalesce("kept", F.array().cast("array<int>")), x["r"]), x["t"]).otherwise(WILD))
-    finished = literals.join(kept, "pid", "left").select("ptpl", tpl.alias("tpl"))
+    named = literals.select("pid", "c", "lits").mapInArrow(_prefixes, "pid long, c long, n int, d int, u binary")
+    # A prefix of one message decides nothing, and most are such: they go first.
+    node_counts = named.groupBy("u").agg(F.sum("c").alias("total"), F.min("n").alias("least")).where("total > 1")
+    shared = named.select("pid", "u", "d").join(node_counts, "u")
+    followed = shared.withColumn("next", F.lead("total").over(Window.partitionBy("pid").orderBy("d")))
+    alike = followed.where("next = total").select("pid", F.explode(F.array(F.col("d"), F.col("d") + 1)).alias("d"))
+    parting = followed.where("(next is null or next != total) and least > d + 2").select("pid", "u", F.col("d").alias("ud"), "least")
+    later = F.slice("lits", F.col("ud") + 3, F.col("least") - F.col("ud") - 2)
+    words = parting.join(literals.select("pid", "lits"), "pid").select("u", "ud", F.posexplode(later).alias("at", "w"))
+    agreed = words.groupBy("u", "ud", "at").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).where("lo = hi").select("u", (F.col("ud") + F.col("at") + 2).alias("d"))
+    hits = parting.select("pid", "u", "ud").join(agreed, "u").select("pid", F.explode(F.array("ud", "d")).alias("d"))
+    kept = alike.unionByName(hits).groupBy("pid").agg(F.collect_set("d").alias("kept"))
+    finished = literals.select("pid", "ptpl").join(kept, "pid", "left").select("ptpl", "kept").mapInArrow(_kept_words, "ptpl array<string>, tpl array<string>")
     return primary.join(finished, "ptpl").select("lid", "tpl")
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each prefix of a message's literals: pid, c, their number n, the prefix's last place d and its name u, 128 bits chained word by word."""
+    for batch in batches:
+        pids, counts, sizes, depths, names = [], [], [], [], []
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array(pids, pa.int64()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(depths, pa.int32()), pa.array(names, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["pid", "c", "n", "d", "u"])
+
+        for pid, c, lits in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            name, n = b"", len(lits)
+            for w in lits:
+                name = xxhash.xxh3_128_digest(name + w.encode())
+                names.append(name)
+            pids += [pid] * n
+            counts += [c] * n
+            sizes += [n] * n
+            depths += range(n)
+            if len(names) > 100_000:
+                yield made()
+                pids, counts, sizes, depths, names = [], [], [], [], []
+        yield made()
+
+
+def _kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages with their templates: the literals at the places ``kept``, and wildcards."""
+    for batch in batches:
+        made = []
+        for ptpl, kept in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own, d, tpl = set(kept or ()), -1, []
+            for w in ptpl:
+                d += w != WILD
+                tpl.append(w if w != WILD and d in own else WILD)
+            made.append(tpl)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], ["ptpl", "tpl"])
+
+
 #: Generators by name: (function of lines, whether it depends on order, whether it may run on a stream).
 REGISTRY: dict[str, tuple[Callable[..., DataFrame], bool, bool]] = {
     "drain": (drain, True, True),

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .parse import deal_small, number_lines
 
-#: Lines of documents with more words are no log lines.
-MOST_WORDS = 40
-
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lid, dt, host, words of one line per event; hosts are shaped like racks, midplanes and nodes."""
@@ -21,9 +18,9 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lid, host, words of one line per line of a document, without empty and very long ones; words are escaped."""
+    """lid, host, words of one line per line of a document, without empty ones; words are escaped."""
     d = deal_small(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     lines = d.select("doc_id", F.col("source").alias("host"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line != ''")
-    split = lines.withColumn("words", F.split("line", " ")).where(F.size("words") <= MOST_WORDS)
+    split = lines.withColumn("words", F.split("line", " "))
     numbered = number_lines(split, F.floor(F.col("doc_id") / 1024), F.col("doc_id"), F.col("pos"))
     return numbered.select("lid", "host", T.escape_words(F.col("words")).alias("words"))
