@@ -48,14 +48,27 @@ def set_fingerprint(words: list[bytes]) -> int:
     return fingerprint(sorted(set(words)), 1)
 
 
+def shingles(words: list[bytes], width: int) -> np.ndarray:
+    """The hashes of the text's distinct shingles in ascending order; a shorter text is one shingle."""
+    n = max(1, len(words) - width + 1)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.fromiter((digest(join(words[i : i + width]), SEED + 1) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def set_key(h: np.ndarray) -> int:
+    """The name of a set of shingles: 64 bits, signed."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+
+
 def sketch(words: list[bytes], width: int) -> bytes:
     """256 one-bit minimum hashes of the text's shingles: the share of differing bits estimates half of one minus their similarity.
 
     One hash per shingle; its high byte says which of 256 minima it takes part in, and an empty one borrows from the next that is not.
     """
-    n = max(1, len(words) - width + 1)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    h = np.unique(np.fromiter((digest(join(words[i : i + width]), SEED + 1) for i in range(n)), dtype=np.uint64, count=n))
+    return _sketch(shingles(words, width))
+
+
+def _sketch(h: np.ndarray) -> bytes:
     bins, first = np.unique((h >> np.uint64(56)).astype(np.int64), return_index=True)
     at = np.searchsorted(bins, np.arange(256)) % len(bins)
     away = ((bins[at] - np.arange(256)) % 256).astype(np.uint64)
@@ -65,16 +78,22 @@ def sketch(words: list[bytes], width: int) -> bytes:
 
 
 def with_sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, __ll_fp (of the distinct words) and __ll_sk (sketch of the shingles) of each row of ``docs`` (doc_id, text)."""
+    """doc_id, __ll_fp (of the distinct words), and __ll_sk (sketch) and __ll_set (name) of the shingles of each row of ``docs`` (doc_id, text)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.parts(batch):
-                words = [x.translate(_LOWER).split() for x in common.utf8(part.column(1))]
-                fps = np.array([set_fingerprint(w) for w in words], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array([sketch(w, width) for w in words], pa.binary())], ["doc_id", "__ll_fp", "__ll_sk"])
+                fps, sketches, keys = [], [], []
+                for x in common.utf8(part.column(1)):
+                    words = x.translate(_LOWER).split()
+                    h = shingles(words, width)
+                    fps.append(set_fingerprint(words))
+                    sketches.append(_sketch(h))
+                    keys.append(set_key(h))
+                signed = np.array(fps, dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed), pa.array(sketches, pa.binary()), pa.array(keys, pa.int64())], ["doc_id", "__ll_fp", "__ll_sk", "__ll_set"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, __ll_fp long, __ll_sk binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, __ll_fp long, __ll_sk binary, __ll_set long")
 
 
 def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -309,15 +328,151 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, hot_buc
     return joined.select("doc_id", F.lpad(F.lower(F.hex("__ll_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _last_shingles(docs: DataFrame, width: int, share: int = 16, least: int = 8, most: int = 100_000) -> np.ndarray:
+    """Shingles that many documents hold, the most frequent last, counted in one of ``share`` documents.
+
+    They only end the order in which a document's shingles are looked at; whatever they are, no pair is lost.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.parts(batch):
+                for x in common.utf8(part.column(1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(shingles(x.translate(_LOWER).split(), width).view(np.int64))], ["token"])
+
+    some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    counts = some.mapInArrow(made, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    rows = counts.orderBy(F.desc("n"), "token").limit(most).collect()
+    return np.array([r.token for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+
+
+def _need(a, b, similarity: float):
+    """How many shingles sets of ``a`` and ``b`` must share at least to be similar."""
+    return similarity / (1 + similarity) * (a + b) - 1e-6
+
+
+def candidates(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): every pair of ``nodes`` (rep, __ll_set, component) of two components whose shingles may be as similar as ``similarity``.
+
+    Prefix filter: in a common order of all shingles, similar sets share one of the first n - similarity * n + 1 of each, and the first
+    that they share leaves enough behind it in both. Frequent shingles come last in that order.
+    """
+    last = docs.sparkSession.sparkContext.broadcast(_last_shingles(docs, width))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("__ll_text")).join(nodes, "rep").select("__ll_set", "component", "__ll_text")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = last.value
+        order = np.argsort(frequent)
+        known = frequent[order]
+        for batch in batches:
+            for part in common.parts(batch, column=2):
+                out: list[tuple] = []
+                for key, component, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), common.utf8(part.column(2)), strict=True):
+                    h = shingles(x.translate(_LOWER).split(), width)
+                    if set_key(h) != key:
+                        continue
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        rank = np.where(known[at] == h, order[at], -1)
+                        h = h[np.argsort(rank, kind="stable")]
+                    n = len(h)
+                    p = n - int(np.ceil(similarity * n - 1e-6)) + 1
+                    out.append((h[:p].view(np.int64), np.arange(p), np.full(p, n), np.full(p, key), np.full(p, component)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["token", "at", "n", "node", "component"])
+
+    rows = texts.mapInArrow(prefixes, "token long, at long, n long, node long, component long")
+    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node")
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        token, at, n, node, component = (rows.column(i).to_numpy() for i in range(5))
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        mixed = np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin)
+        size = np.diff(np.append(begin, len(token)))
+        row = np.flatnonzero(np.repeat(mixed, size))
+        end = np.repeat(begin + size, size)
+        lag, found = 1, [np.zeros((0, 2), dtype=np.int64)]
+        while len(row):
+            row = row[row + lag < end[row]]
+            row = row[n[row] >= similarity * n[row + lag] - 1e-6]
+            other = row + lag
+            fits = (component[row] != component[other]) & (np.minimum(n[row] - at[row], n[other] - at[other]) >= _need(n[row], n[other], similarity))
+            if fits.any():
+                two = node[np.stack([row[fits], other[fits]], axis=1)]
+                found.append(np.sort(two, axis=1))
+            lag += 1
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # What belongs to the last shingle waits for its other rows.
+            token = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(token, token[-1]))
+            if cut or (held and held[-1].column(0)[-1].as_py() != token[0]):
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(compared, "a long, b long").distinct()
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: names of sets of ``nodes``) whose sets of shingles have a Jaccard similarity of at least ``similarity``."""
+    pairs = common.stored(pairs)
+    ends = pairs.select(F.col("a").alias("__ll_set")).unionByName(pairs.select(F.col("b").alias("__ll_set"))).distinct()
+    reps = common.stored(nodes.join(ends, "__ll_set", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(reps, "doc_id", "left_semi").select("doc_id", "text")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.parts(batch):
+                sets = [shingles(x.translate(_LOWER).split(), width) for x in common.utf8(part.column(1))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["k", "h"])
+
+    sets = common.stored(texts.mapInArrow(made, "k long, h binary").dropDuplicates(["k"]))
+    joined = pairs.join(sets.select(F.col("k").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return joined.mapInArrow(similar, "a long, b long")
+
+
 def similar_classes(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 6, hot_bucket: int = 2048) -> DataFrame:
-    """doc_id and component_id by similarity of word shingles: documents link from a Jaccard similarity of about ``similarity``.
+    """doc_id and component_id by similarity of word shingles: documents link from a Jaccard similarity of ``similarity``.
 
-    Candidates are fingerprints of the distinct words within ``radius`` bits; a link also needs 256-bit sketches of the ``width``-word
-    shingles that differ in no more bits than the similarity less 0.05 lets expect (the sketch has a standard error of 0.04 there).
+    First the close pairs, of which there may be very many: fingerprints of the distinct words within ``radius`` bits and 256-bit sketches
+    of the ``width``-word shingles that differ in no more bits than the similarity and 0.05 let expect; of these links a spanning forest
+    is verified. Then all other pairs that can be similar (``candidates``), looked for between the components that are known. Every link
+    is verified by the exact similarity, and no pair is lost.
     """
-    most = round(256 * (1 - (similarity - 0.05)) / 2)
+    most = round(256 * (1 - min(1.0, similarity + 0.05)) / 2)
     prints = common.stored(with_sketches(docs, width))
-    return prints.join(classes(prints, radius, hot_bucket, most), ["__ll_fp", "__ll_sk"], "left").select("doc_id", "component_id")
+    named = prints.where("doc_id is not null")
+    nodes = common.stored(named.groupBy("__ll_set").agg(F.min("doc_id").alias("rep"), F.first("__ll_fp").alias("__ll_fp"), F.first("__ll_sk").alias("__ll_sk")))
+    close = links(nodes.select(F.col("__ll_set").alias("rep"), "__ll_fp", "__ll_sk"), radius, hot_bucket, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Rows of one doc_id count as one document.
+    several = named.groupBy("doc_id").agg(F.min("__ll_set").alias("a"), F.max("__ll_set").alias("z")).where("a != z").select("doc_id", "a")
+    own = named.join(several, "doc_id").where("__ll_set != a").select("a", F.col("__ll_set").alias("b"))
+    sure = common.stored(verified(docs, nodes, close, width, similarity).unionByName(own))
+    known = nodes.select("rep", "__ll_set").join(components(sure), F.col("__ll_set") == F.col("node"), "left").select("rep", "__ll_set", F.coalesce("component", "__ll_set").alias("component"))
+    more = verified(docs, nodes, candidates(docs, known, width, similarity), width, similarity)
+    joined = nodes.select("rep", "__ll_set").join(components(sure.unionByName(more)), F.col("__ll_set") == F.col("node"), "left")
+    whole = joined.select("rep", "__ll_set", F.coalesce("component", "__ll_set").alias("c"))
+    least = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
+    return prints.join(whole.join(least, "c").select("__ll_set", "component_id"), "__ll_set", "left").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
