@@ -4,9 +4,10 @@ Pages of one host come from a few templates. Their token streams are aligned one
 elements that only some pages have become optional, and runs of like elements become repeated groups. The wrapper that results shows
 which region holds the varying text and which of its texts are fixed parts of the template, and is then applied to every page of the host.
 
-Scale: a wrapper is inferred from at most ``sample`` pages of a host, chosen by hash (a documented bound; the partial group limit of
-the window keeps a hot host from meeting in one task), and each page is extracted in a map. Wrappers are broadcast up to
-``broadcast_bytes``, which is checked, and joined by host beyond.
+Scale: every distinct page of a host counts, once. Pages are dealt by host and content, so the pages of a hot host meet in no single
+task; each task unites its pages into a wrapper for each layout (the page's nest of containers) and one for the host, and what the tasks
+found is united again by host and layout. Pages are then extracted in a map, each by the wrapper of its layout. Wrappers are broadcast up
+to ``broadcast_bytes``, which is checked, and joined by host and layout beyond.
 """
 
 from __future__ import annotations
@@ -15,18 +16,20 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .urls import split_url
 
-SAMPLE = 16
 BROADCAST_BYTES = 16 << 20
 #: Template text is dropped from the article only if it is alike in so many pages.
 LEAST_PAGES = 6
+#: Layouts of one host that a task holds at a time.
+MOST_LAYOUTS = 1000
 #: Children of two elements are aligned exactly up to this product of their numbers.
 MOST_CELLS = 1_000_000
 
@@ -40,6 +43,7 @@ BLOCK = set(
 CELLS = {"td", "th"}
 #: An open element of the first kind ends where one of the second begins.
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
+LAYOUT = set("body div section main article table".split())
 CONTAINERS = set("html body div section main article table tbody tr td center span".split())
 NOT_TEXT = set("nav footer aside form button head dialog menu label input".split()) | RAW
 NOT_TEXT_ROLES = set("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
@@ -304,6 +308,56 @@ def fixed_texts(root: Part, path: list[str], pages: int) -> set[tuple[str, str]]
     return found
 
 
+def layout(root: Node) -> str:
+    """A name of the page's layout: the paths of its containers, however often each occurs."""
+    found: set[str] = set()
+
+    def walk(node: Node, path: str) -> None:
+        for child in node.children:
+            if isinstance(child, Node) and not child.junk:
+                here = path
+                if child.tag in LAYOUT:
+                    here = md5(f"{path}/{child.sig}".encode()).hexdigest()
+                    found.add(here)
+                walk(child, here)
+
+    walk(root, "")
+    return md5("".join(sorted(found)).encode()).hexdigest()
+
+
+def dumped(part: Part) -> str:
+    """A wrapper as JSON, its parts in a row: a part comes before its children, with their number."""
+    out: list[list] = []
+
+    def walk(x: Part) -> None:
+        out.append([x.sig, x.tag, x.junk, x.occurs, x.constant, x.mass, x.link, x.pages, len(x.children)])
+        for child in x.children:
+            walk(child)
+
+    walk(part)
+    return json.dumps(out)
+
+
+def loaded(text: str) -> Part:
+    rows = iter(json.loads(text))
+
+    def read() -> Part:
+        sig, tag, junk, occurs, constant, mass, link, pages, n = next(rows)
+        made = Part(sig, tag, junk)
+        made.occurs, made.constant, made.mass, made.link, made.pages = occurs, constant, mass, link, pages
+        made.children = [read() for _ in range(n)]
+        return made
+
+    return read()
+
+
+def finished(root: Part | None, pages: int) -> dict:
+    """The wrapper of ``pages`` united pages: the region's path, template texts within it and the expression."""
+    path = main_region(root) if root else []
+    fixed = fixed_texts(root, path, pages) if root else set()
+    return {"path": path, "fixed": sorted(fixed), "pages": pages, "expression": expression(root)[:20_000] if root else ""}
+
+
 def infer(texts: list[str]) -> dict:
     """The wrapper of pages of one host: the region's path, template texts within it and the expression."""
     root = None
@@ -314,19 +368,22 @@ def infer(texts: list[str]) -> dict:
             root = part
         else:
             _unite(root, part)
-    path = main_region(root) if root else []
-    fixed = fixed_texts(root, path, len(distinct)) if root else set()
-    return {"path": path, "fixed": sorted(fixed), "pages": len(distinct), "expression": expression(root)[:20_000] if root else ""}
+    return finished(root, len(distinct))
 
 
 def extract(text: str, wrapper: dict | None) -> str:
     """The article's blocks, one a line; without a wrapper that fits, the page's own."""
-    root = parse(text)
+    return _extract(parse(text), wrapper)
+
+
+def _extract(root: Node, wrapper: dict | None, whole: dict | None = None) -> str:
+    """The article of a page by the wrapper of its layout. whole: that of its host, whose template texts go too if its region is the same."""
     blocks: list[str] = []
     regions: list[Node] = []
-    if wrapper and wrapper["path"]:
+    own = wrapper["path"] if wrapper else []
+    if own:
         regions = [root]
-        for sig in wrapper["path"]:
+        for sig in own:
             regions = [c for r in regions for c in r.children if isinstance(c, Node) and c.sig == sig and not c.junk]
     fixed = {tuple(x) for x in wrapper["fixed"]} if wrapper else set()
     if not regions:
@@ -334,6 +391,8 @@ def extract(text: str, wrapper: dict | None) -> str:
         regions, fixed = [root], set()
         for sig in own:
             regions = [c for r in regions for c in r.children if isinstance(c, Node) and c.sig == sig and not c.junk]
+    if whole and whole["path"] == own:
+        fixed |= {tuple(x) for x in whole["fixed"]}
     pieces: list[str] = []
 
     def close() -> None:
@@ -372,45 +431,98 @@ def _prepared(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string").alias("html"), split_url(F.col("url").cast("string"))[0].alias("host"))
 
 
-def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host, wrapper (JSON: path, fixed, pages, expression) for every host of ``pages`` (page_id, url, html)."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("url", F.length("html")), "url", "page_id")
-    chosen = _prepared(pages).where("html is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """host, layout, wrapper (JSON: path, fixed, pages, expression) from all distinct pages (page_id, url, html) of each host.
+
+    A layout that one page only has gets no wrapper, since a page alone tells as much by itself; the empty layout is the whole host.
+    """
+    given = _prepared(pages).where("html is not null and host is not null").select("host", F.md5(F.col("html").cast("binary")).alias("name"), "html")
+    dealt = given.repartition("host", "name").sortWithinPartitions("host", "name")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, before, held = None, None, {}
 
-    def wrap(group):
+        def rows() -> pa.RecordBatch:
+            made = [(current, k, n, dumped(part)) for k, (n, part) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["host", "layout", "n", "part"])
+
+        for batch in batches:
+            for host, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and (host != current or len(held) > MOST_LAYOUTS):
+                    yield rows()
+                if (host, name) == (current, before):
+                    continue  # a copy
+                current, before = host, name
+                root = parse(text)
+                for key in ("", layout(root)):
+                    part = part_of(root)
+                    if key in held:
+                        n, known = held[key]
+                        _unite(known, part)
+                        held[key] = (n + 1, known)
+                    else:
+                        held[key] = (1, part)
+        if held:
+            yield rows()
+
+    def whole(group):
         import pandas as pd
 
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(infer(group["html"].tolist()))]})
+        root = None
+        for text in sorted(group["part"]):
+            if root is None:
+                root = loaded(text)
+            else:
+                _unite(root, loaded(text))
+        n = int(group["n"].sum())
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "layout": [group["layout"].iloc[0]], "wrapper": [json.dumps(finished(root, n))], "n": [n]})
 
-    return chosen.select("host", "html").groupBy("host").applyInPandas(wrap, "host string, wrapper string")
+    found = dealt.mapInArrow(partial, "host string, layout string, n long, part string")
+    return found.groupBy("host", "layout").applyInPandas(whole, "host string, layout string, wrapper string, n long").where("n > 1 or layout = ''").drop("n")
 
 
-def extract_pages(pages: DataFrame, sample: int = SAMPLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def extract_pages(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``.
 
-    Null and empty html give an empty text. A page that its host's wrapper does not fit, or whose url has no host, is judged by itself.
+    Null and empty html give an empty text. A page whose layout has no wrapper, or whose url has no host, is judged by itself.
     Unclosed tags end with their parents, and a page that breaks off is taken as far as it goes. Repeated rows each get their row.
     """
-    wrappers = common.stored(infer_wrappers(pages, sample))
-    size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    wrappers = common.stored(infer_wrappers(pages))
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host") + 32)).first()[0] or 0
     prepared = _prepared(pages)
     schema = "page_id long, url string, text string, n_chars long"
     sent = None
     if size <= broadcast_bytes:
-        sent = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})
-        joined = prepared.withColumn("wrapper", F.lit(None).cast("string"))
+        sent = pages.sparkSession.sparkContext.broadcast({(r.host, r.layout): r.wrapper for r in wrappers.collect()})
+        joined = prepared.select("page_id", "url", "html", "host", F.lit(None).cast("string").alias("wrapper"), F.lit(None).cast("string").alias("whole"))
     else:
-        joined = prepared.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "wrapper")
+
+        def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.append_column("layout", pa.array([layout(parse(x or "")) for x in batch.column(2).to_pylist()], pa.string()))
+
+        named = prepared.mapInArrow(laid, "page_id long, url string, html string, host string, layout string")
+        hosts = wrappers.where("layout = ''").select("host", F.col("wrapper").alias("whole"))
+        joined = named.join(wrappers.where("layout != ''"), ["host", "layout"], "left").join(hosts, "host", "left").select("page_id", "url", "html", "host", "wrapper", "whole")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}
+
+        def read(wrapper: str | None) -> dict | None:
+            if wrapper and wrapper not in known:
+                if len(known) > 256:
+                    known.clear()
+                known[wrapper] = json.loads(wrapper)
+            return known[wrapper] if wrapper else None
+
         for batch in batches:
             texts = []
-            for text, host, wrapper in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                wrapper = sent.value.get(host) if sent else wrapper
-                if wrapper and host not in known:
-                    known = {host: json.loads(wrapper)} if len(known) > 256 else known | {host: json.loads(wrapper)}
-                texts.append(extract(text or "", known.get(host) if host else None))
+            for text, host, wrapper, whole in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                root = parse(text or "")
+                if sent and host:
+                    wrapper, whole = sent.value.get((host, layout(root))), sent.value.get((host, ""))
+                texts.append(_extract(root, read(wrapper), read(whole)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(made, schema)
