@@ -21,7 +21,7 @@ ROUNDS = 6
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "secret": r"(?i:\b(?:token|secret|api_?key|password)\s{0,3}[=:]\s{0,3}[\"']?)[0-9a-f]{32,64}\b",
+    "secret": r"(?i:\b(?:token|secret|api_?key|password)\s{0,3}[=:]\s{0,3}[\"']?)[0-9a-fA-F]{32,64}\b",
     "date": r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w-])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
@@ -268,9 +268,11 @@ def _email(key: str, x: Column) -> Column:
 
 
 def _secret(key: str, x: Column) -> Column:
-    """The name stays, the hexadecimal digits are permuted."""
-    digits = F.regexp_extract(x, "([0-9a-f]{32,64})$", 1)
-    return F.concat(F.substr(x, F.lit(1), F.length(x) - F.length(digits)), permute_text(key, "secret", digits, ["0123456789abcdef"]))
+    """The name stays, the hexadecimal digits are permuted whatever their case; digits in capitals stay such."""
+    digits = F.regexp_extract(x, "([0-9a-fA-F]{32,64})$", 1)
+    made = permute_text(key, "secret", F.lower(digits), ["0123456789abcdef"])
+    cased = _once(made, lambda m: F.when(digits.rlike("[A-F]") & ~digits.rlike("[a-f]"), F.upper(m)).otherwise(m))
+    return F.concat(F.substr(x, F.lit(1), F.length(x) - F.length(digits)), cased)
 
 
 def kind_of(x: Column) -> Column:
