@@ -599,10 +599,7 @@ FROM lt, (SELECT min(w[3]) FILTER (ltid = 1) AS u FROM one)""",
 )
 def edit_fix(spark, d):
     e = Ev(spark, d)
-    user = F.element_at("words", 3)
-    one = e.log.where("host = 'R00-M0-N0'")
-    first = one.agg(F.min(user)).first()[0]  # one value
-    _, lt = edit.fix(one.where(user == first), e.lt, 1, [0])
+    _, lt = edit.fix(e.log, e.lt, 1, [0])
     return lt.select("ltid", F.array_join("ltw", " ").alias("tpl"), F.col("count").alias("n"))
 
 
@@ -715,7 +712,7 @@ def anonymize_restored(spark, d):
 def labelled_variables(spark, d):
     e = Ev(spark, d)
     rules = V.VariableRules(["ipaddr"], {"digit": r"\d$", "number": r"\d+$"})
-    joined = search.with_templates(e.log, e.lt).where(F.length(F.element_at("words", 3)) > 1)
+    joined = search.with_templates(e.log, e.lt)
     return _text(joined.select("lid", V.label_variables(F.col("words"), F.col("ltw"), rules).alias("tpl")), "tpl")
 
 
