@@ -454,15 +454,16 @@ def similar_classes(docs: DataFrame, *, width: int = 5, similarity: float = 0.8,
     """doc_id and component_id by similarity of word shingles: documents link from a Jaccard similarity of ``similarity``.
 
     First the close pairs, of which there may be very many: fingerprints of the distinct words within ``radius`` bits and 256-bit sketches
-    of the ``width``-word shingles that differ in no more bits than the similarity and 0.05 let expect; of these links a spanning forest
-    is verified. Then all other pairs that can be similar (``candidates``), looked for between the components that are known. Every link
+    of the ``width``-word shingles that differ in no more bits than the similarity and 0.05 let expect; of each component of these
+    links every member is verified against one. Then all other pairs that can be similar (``candidates``), looked for between the components that are known. Every link
     is verified by the exact similarity, and no pair is lost.
     """
     most = round(256 * (1 - min(1.0, similarity + 0.05)) / 2)
     prints = common.stored(with_sketches(docs, width))
     named = prints.where("doc_id is not null")
     nodes = common.stored(named.groupBy("__ll_set").agg(F.min("doc_id").alias("rep"), F.first("__ll_fp").alias("__ll_fp"), F.first("__ll_sk").alias("__ll_sk")))
-    close = links(nodes.select(F.col("__ll_set").alias("rep"), "__ll_fp", "__ll_sk"), radius, hot_bucket, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = components(common.stored(links(nodes.select(F.col("__ll_set").alias("rep"), "__ll_fp", "__ll_sk"), radius, hot_bucket, most)))
+    close = near.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     # Rows of one doc_id count as one document.
     several = named.groupBy("doc_id").agg(F.min("__ll_set").alias("a"), F.max("__ll_set").alias("z")).where("a != z").select("doc_id", "a")
     own = named.join(several, "doc_id").where("__ll_set != a").select("a", F.col("__ll_set").alias("b"))
