@@ -444,6 +444,10 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
         def rows() -> pa.RecordBatch:
             made = [(current, k, n, dumped(part)) for k, (n, part) in held.items()]
+            found = [part for _, part in held.values()]
+            for part in found[1:]:
+                _unite(found[0], part)
+            made.append((current, "", sum(n for n, _ in held.values()), dumped(found[0])))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["host", "layout", "n", "part"])
 
@@ -455,14 +459,13 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                     continue  # a copy
                 current, before = host, name
                 root = parse(text)
-                for key in ("", layout(root)):
-                    part = part_of(root)
-                    if key in held:
-                        n, known = held[key]
-                        _unite(known, part)
-                        held[key] = (n + 1, known)
-                    else:
-                        held[key] = (1, part)
+                key, part = layout(root), part_of(root)
+                if key in held:
+                    n, known = held[key]
+                    _unite(known, part)
+                    held[key] = (n + 1, known)
+                else:
+                    held[key] = (1, part)
         if held:
             yield rows()
 
