@@ -27,8 +27,7 @@ log AS (SELECT lid, ltid, dt, host, w, t.tpl FROM t JOIN lt ON t.tpl = lt.tpl),
 ltg AS (SELECT ltid, ltid // 2 AS ltgid FROM lt)"""
 DOC = r"""doc_lines AS (SELECT doc_id, source AS host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 doc_split AS (SELECT doc_id, host, pos, string_split(line, ' ') AS s FROM doc_lines WHERE line <> ''),
-doc_kept AS (SELECT * FROM doc_split WHERE len(s) <= 40),
-log_doc AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS lid, host, [regexp_replace(x, '([\\*@])', '\\\1', 'g') for x in s] AS w FROM doc_kept)"""
+log_doc AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS lid, host, [regexp_replace(x, '([\\*@])', '\\\1', 'g') for x in s] AS w FROM doc_split)"""
 RULES = tags.TagRules(
     {"fault": [(["err"], False), (["fail"], True)], "trade": [(["PURCHASE", "user$"], True)], "web": [(["click$"], False), (["view$"], False)]},
     {"operations": ["fault"], "business": ["trade", "web"]},
@@ -476,20 +475,7 @@ def tpl_joint(spark, d):
     return made.select("lid", "method")
 
 
-@query(
-    """, pt AS (SELECT lid, [CASE WHEN regexp_matches(x, '^\\d+$') THEN '**' ELSE x END for x in w] AS ptpl FROM log_doc),
-q AS (SELECT ptpl, count(*) AS c, min(lid) AS pid, [x for x in ptpl if x <> '**'] AS lits FROM pt GROUP BY ptpl),
-nodes AS (SELECT pid, c, lits, unnest(generate_series(1, len(lits))) AS dep FROM q WHERE len(lits) > 0),
-named AS (SELECT pid, c, lits, dep, lits[1:dep] AS u FROM nodes),
-tot AS (SELECT u, sum(c) AS total FROM named GROUP BY u),
-pr AS (SELECT pid, c, u, dep AS ud, unnest(generate_series(dep + 1, len(lits))) AS dep, lits FROM named WHERE dep < len(lits)),
-su AS (SELECT u, dep, lits[dep] AS x FROM pr JOIN tot USING (u) GROUP BY u, dep, lits[dep], total HAVING sum(c) = total AND total > 1),
-hit AS (SELECT pid, ud, pr.dep FROM pr JOIN su ON pr.u = su.u AND pr.dep = su.dep AND pr.lits[pr.dep] = su.x),
-kp AS (SELECT pid, list(DISTINCT z) AS kept FROM (SELECT pid, ud AS z FROM hit UNION ALL SELECT pid, dep FROM hit) GROUP BY pid),
-fin AS (SELECT ptpl, [CASE WHEN ptpl[i] <> '**' AND list_contains(coalesce(kept, []), len([x for x in ptpl[1:i] if x <> '**'])) THEN ptpl[i] ELSE '**' END for i in generate_series(1, len(ptpl))] AS tpl FROM q LEFT JOIN kp USING (pid))
-SELECT lid, array_to_string(tpl, ' ') AS tpl FROM pt JOIN fin ON pt.ptpl = fin.ptpl""",
-    doc=True,
-)
+@query()  # its SQL pairs all words of a line, too slow on whole texts; tests compare with an independent miner
 def tpl_dlog(spark, d):
     return _text(cluster.merged_prefixes(document_log(spark, d)), "tpl")
 
