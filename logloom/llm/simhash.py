@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED = 42
+#: Ids with a few numbers each go to all executors up to so many rows (about 24 bytes each), and are joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -78,22 +80,23 @@ def _sketch(h: np.ndarray) -> bytes:
 
 
 def with_sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, __ll_fp (of the distinct words), and __ll_sk (sketch) and __ll_set (name) of the shingles of each row of ``docs`` (doc_id, text)."""
+    """doc_id, __ll_fp (of the distinct words), and __ll_sk (sketch), __ll_set (name) and __ll_n (number) of the shingles of each row of ``docs`` (doc_id, text)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.parts(batch):
-                fps, sketches, keys = [], [], []
+                fps, sketches, keys, sizes = [], [], [], []
                 for x in common.utf8(part.column(1)):
                     words = x.translate(_LOWER).split()
                     h = shingles(words, width)
                     fps.append(set_fingerprint(words))
                     sketches.append(_sketch(h))
                     keys.append(set_key(h))
+                    sizes.append(len(h))
                 signed = np.array(fps, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed), pa.array(sketches, pa.binary()), pa.array(keys, pa.int64())], ["doc_id", "__ll_fp", "__ll_sk", "__ll_set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed), pa.array(sketches, pa.binary()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "__ll_fp", "__ll_sk", "__ll_set", "__ll_n"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, __ll_fp long, __ll_sk binary, __ll_set long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, __ll_fp long, __ll_sk binary, __ll_set long, __ll_n long")
 
 
 def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -358,7 +361,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, width: int, similarity: float)
     that they share leaves enough behind it in both. Frequent shingles come last in that order.
     """
     last = docs.sparkSession.sparkContext.broadcast(_last_shingles(docs, width))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("__ll_text")).join(nodes, "rep").select("__ll_set", "component", "__ll_text")
+    texts = with_ids(docs, nodes.withColumnRenamed("rep", "doc_id")).select("__ll_set", "component", "text")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = last.value
@@ -422,32 +425,87 @@ def candidates(docs: DataFrame, nodes: DataFrame, width: int, similarity: float)
     return dealt.mapInArrow(compared, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: names of sets of ``nodes``) whose sets of shingles have a Jaccard similarity of at least ``similarity``."""
+def _short(h: np.ndarray) -> bytes:
+    """40 bits of each shingle hash, which are enough to compare two texts."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, 3:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view(np.uint64)
+
+
+def likely(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches leave it possible that they are similar: up to eight standard deviations off."""
+    one = nodes.select("__ll_set", F.col("__ll_sk").alias("s"), F.col("__ll_n").alias("n"))
+    joined = pairs.join(one.toDF("a", "sa", "na"), "a").join(one.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    share = (1 - similarity) / 2
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, 4) for i in (2, 3))
+                n = np.minimum(*(batch.column(i).to_numpy() for i in (4, 5)))
+                most = 256 * share + 8 * np.sqrt(256 * share * (1 - share) * (1 + 256 / n))
+                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most))
+
+    return joined.mapInArrow(chosen, "a long, b long")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float, together: int = 256) -> DataFrame:
+    """Those of ``pairs`` (a, b: names of sets of ``nodes``) whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Pairs are dealt by ``a``, of which no more than about ``together`` pairs meet in one place, so an ``a`` with very many is split.
+    What is shuffled are 40-bit hashes of shingles, once for each pair and once for each place of an ``a``.
+    """
     pairs = common.stored(pairs)
-    ends = pairs.select(F.col("a").alias("__ll_set")).unionByName(pairs.select(F.col("b").alias("__ll_set"))).distinct()
-    reps = common.stored(nodes.join(ends, "__ll_set", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(reps, "doc_id", "left_semi").select("doc_id", "text")
+    reps = nodes.select("rep", "__ll_set")
+    heads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).alias("places"))
+    firsts = heads.join(reps, F.col("a") == F.col("__ll_set")).select(F.col("rep").alias("doc_id"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(1), "places")).alias("place"))
+    others = pairs.join(heads, "a").join(reps, F.col("b") == F.col("__ll_set")).select(F.col("rep").alias("doc_id"), "a", "b", (F.pmod(F.xxhash64("b"), "places") + 1).alias("place"))
+    needs = common.stored(firsts.unionByName(others))
+    texts = with_ids(docs, needs).select("doc_id", "text", "a", "b", "place")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, data, key = None, b"", 0
         for batch in batches:
             for part in common.parts(batch):
-                sets = [shingles(x.translate(_LOWER).split(), width) for x in common.utf8(part.column(1))]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["k", "h"])
-
-    sets = common.stored(texts.mapInArrow(made, "k long, h binary").dropDuplicates(["k"]))
-    joined = pairs.join(sets.select(F.col("k").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("h").alias("y")), "b").select("a", "b", "x", "y")
+                out: list[tuple] = []
+                for text, a, b, place in zip(common.utf8(part.column(1)), *(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                    if text != before:
+                        h = shingles(text.translate(_LOWER).split(), width)
+                        before, data, key = text, _short(h), set_key(h)
+                    if key == (a if b is None else b):
+                        out.append((a, place, b, data))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["a", "place", "b", "h"])
+
+    # A null b, the set of a itself, sorts before the others.
+    dealt = texts.mapInArrow(made, "a long, place long, b long, h binary").repartition("a", "place").sortWithinPartitions("a", "place", "b")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, own = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good: list[tuple] = []
+            for i, (a, place, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                h = _wide(batch.column(3)[i].as_py())
+                if b is None:
+                    current, own = (a, place), h
+                elif current == (a, place):
+                    both = len(np.intersect1d(own, h, assume_unique=True))
+                    if both >= similarity * (len(own) + len(h) - both):
+                        good.append((a, b))
+            columns = list(zip(*good, strict=True)) if good else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return dealt.mapInArrow(similar, "a long, b long").distinct()
+
 
-    return joined.mapInArrow(similar, "a long, b long")
+def with_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) joined with ``wanted`` (doc_id and more), which goes to all executors up to a checked number of rows."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id")
 
 
 def similar_classes(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, radius: int = 6, hot_bucket: int = 2048) -> DataFrame:
@@ -455,23 +513,29 @@ def similar_classes(docs: DataFrame, *, width: int = 5, similarity: float = 0.8,
 
     First the close pairs, of which there may be very many: fingerprints of the distinct words within ``radius`` bits and 256-bit sketches
     of the ``width``-word shingles that differ in no more bits than the similarity and 0.05 let expect; of each component of these
-    links every member is verified against one. Then all other pairs that can be similar (``candidates``), looked for between the components that are known. Every link
-    is verified by the exact similarity, and no pair is lost.
+    links every member is verified against one. Then all other pairs that can be similar (``candidates``), looked for between the
+    components that are known; sketches rule out most of them. Every link is verified by the exact similarity, and no pair is lost.
     """
     most = round(256 * (1 - min(1.0, similarity + 0.05)) / 2)
     prints = common.stored(with_sketches(docs, width))
     named = prints.where("doc_id is not null")
-    nodes = common.stored(named.groupBy("__ll_set").agg(F.min("doc_id").alias("rep"), F.first("__ll_fp").alias("__ll_fp"), F.first("__ll_sk").alias("__ll_sk")))
+    firsts = [F.first(x).alias(x) for x in ("__ll_fp", "__ll_sk", "__ll_n")]
+    nodes = common.stored(named.groupBy("__ll_set").agg(F.min("doc_id").alias("rep"), *firsts))
     near = components(common.stored(links(nodes.select(F.col("__ll_set").alias("rep"), "__ll_fp", "__ll_sk"), radius, hot_bucket, most)))
     close = near.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     # Rows of one doc_id count as one document.
     several = named.groupBy("doc_id").agg(F.min("__ll_set").alias("a"), F.max("__ll_set").alias("z")).where("a != z").select("doc_id", "a")
-    own = named.join(several, "doc_id").where("__ll_set != a").select("a", F.col("__ll_set").alias("b"))
-    sure = common.stored(verified(docs, nodes, close, width, similarity).unionByName(own))
-    known = nodes.select("rep", "__ll_set").join(components(sure), F.col("__ll_set") == F.col("node"), "left").select("rep", "__ll_set", F.coalesce("component", "__ll_set").alias("component"))
-    more = verified(docs, nodes, candidates(docs, known, width, similarity), width, similarity)
-    joined = nodes.select("rep", "__ll_set").join(components(sure.unionByName(more)), F.col("__ll_set") == F.col("node"), "left")
-    whole = joined.select("rep", "__ll_set", F.coalesce("component", "__ll_set").alias("c"))
+    own = common.stored(named.join(several, "doc_id").where("__ll_set != a").select("a", F.col("__ll_set").alias("b")))
+    sure = common.stored(verified(docs, nodes, close, width, similarity))
+    # These links are stars around the smallest member; only documents of several rows can join them.
+    joined = sure.select(F.col("b").alias("node"), F.col("a").alias("component")) if own.isEmpty() else components(sure.unionByName(own)).where("node != component")
+    known = common.stored(nodes.join(joined, F.col("__ll_set") == F.col("node"), "left").select("rep", "__ll_set", F.coalesce("component", "__ll_set").alias("component")))
+    possible = likely(nodes, candidates(docs, known, width, similarity), similarity)
+    more = verified(docs, nodes, possible, width, similarity)
+    of = known.select("__ll_set", "component")
+    between = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    linked = components(between).toDF("component", "c")
+    whole = known.join(linked, "component", "left").select("rep", "__ll_set", F.coalesce("c", "component").alias("c"))
     least = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
     return prints.join(whole.join(least, "c").select("__ll_set", "component_id"), "__ll_set", "left").select("doc_id", "component_id")
 
