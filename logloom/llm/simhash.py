@@ -287,6 +287,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a is not null and b is not null and a != b").distinct()
     now = common.stored(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if now.isEmpty():
+        return now.toDF("node", "component")
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         wide = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
@@ -354,23 +356,29 @@ def _need(a, b, similarity: float):
     return similarity / (1 + similarity) * (a + b) - 1e-6
 
 
-def candidates(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): every pair of ``nodes`` (rep, __ll_set, component) of two components whose shingles may be as similar as ``similarity``.
+def _most_bits(n, similarity: float):
+    """How many of 256 sketch bits may differ between similar sets, the smaller of ``n`` shingles: eight standard deviations above the mean."""
+    share = (1 - similarity) / 2
+    return 256 * share + 8 * np.sqrt(256 * share * (1 - share) * (1 + 256 / n))
+
+
+def shared_prefixes(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(token, at, n, node): shingles in the prefixes of two or more of ``nodes`` (rep, __ll_set, component) of different components.
 
     Prefix filter: in a common order of all shingles, similar sets share one of the first n - similarity * n + 1 of each, and the first
     that they share leaves enough behind it in both. Frequent shingles come last in that order.
     """
     last = docs.sparkSession.sparkContext.broadcast(_last_shingles(docs, width))
-    texts = with_ids(docs, nodes.withColumnRenamed("rep", "doc_id")).select("__ll_set", "component", "text")
+    texts = with_ids(docs, nodes.select(F.col("rep").alias("doc_id"), "__ll_set", "component")).select("doc_id", "text", "__ll_set", "component")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = last.value
         order = np.argsort(frequent)
         known = frequent[order]
         for batch in batches:
-            for part in common.parts(batch, column=2):
+            for part in common.parts(batch):
                 out: list[tuple] = []
-                for key, component, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), common.utf8(part.column(2)), strict=True):
+                for node, key, component, x in zip(*(part.column(i).to_pylist() for i in (0, 2, 3)), common.utf8(part.column(1)), strict=True):
                     h = shingles(x.translate(_LOWER).split(), width)
                     if set_key(h) != key:
                         continue
@@ -380,49 +388,90 @@ def candidates(docs: DataFrame, nodes: DataFrame, width: int, similarity: float)
                         h = h[np.argsort(rank, kind="stable")]
                     n = len(h)
                     p = n - int(np.ceil(similarity * n - 1e-6)) + 1
-                    out.append((h[:p].view(np.int64), np.arange(p), np.full(p, n), np.full(p, key), np.full(p, component)))
+                    out.append((h[:p].view(np.int64), np.arange(p), np.full(p, n), np.full(p, node), np.full(p, component)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["token", "at", "n", "node", "component"])
 
+    def mixed(rows: pa.Table) -> list[pa.RecordBatch]:
+        token, component = rows.column(0).to_numpy(), rows.column(4).to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        several = np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin)
+        kept = np.repeat(several, np.diff(np.append(begin, len(token))))
+        return rows.select(range(4)).filter(pa.array(kept)).combine_chunks().to_batches()
+
     rows = texts.mapInArrow(prefixes, "token long, at long, n long, node long, component long")
-    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node")
+    dealt = rows.repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(lambda batches: (x for rows in _whole_groups(batches) for x in mixed(rows)), "token long, at long, n long, node long")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by their first column: what belongs to the last one waits for its other rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(token, token[-1]))
+        if cut or (held and held[-1].column(0)[-1].as_py() != token[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(shared: DataFrame, nodes: DataFrame, similarity: float, spanning: bool) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (rep, component, __ll_sk) of two components that share a prefix token and whose sketches allow for similarity.
+
+    spanning: of the pairs that one token gives, closest sketches first, only as many as it takes to connect what they connect.
+    """
+    state = nodes.select(F.col("rep").alias("node"), "component", "__ll_sk")
+    joined = shared.join(F.broadcast(state) if 8 * state.count() <= BROADCAST_ROWS else state, "node").select("token", "at", "n", "node", "component", "__ll_sk")
+    dealt = joined.repartition("token").sortWithinPartitions("token", "n", "node")
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         token, at, n, node, component = (rows.column(i).to_numpy() for i in range(5))
+        sketches = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype=np.uint64).reshape(-1, 4)
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        mixed = np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin)
         size = np.diff(np.append(begin, len(token)))
-        row = np.flatnonzero(np.repeat(mixed, size))
         end = np.repeat(begin + size, size)
-        lag, found = 1, [np.zeros((0, 2), dtype=np.int64)]
-        while len(row):
-            row = row[row + lag < end[row]]
-            row = row[n[row] >= similarity * n[row + lag] - 1e-6]
-            other = row + lag
-            fits = (component[row] != component[other]) & (np.minimum(n[row] - at[row], n[other] - at[other]) >= _need(n[row], n[other], similarity))
-            if fits.any():
-                two = node[np.stack([row[fits], other[fits]], axis=1)]
-                found.append(np.sort(two, axis=1))
-            lag += 1
+        # Rows of one component in one group start out connected.
+        label = np.unique(np.stack([end, component], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+        several = np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin)
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for most in (256 * (1 - similarity) / 2, None) if spanning else (None,):
+            row, lag = np.flatnonzero(np.repeat(several, size)), 1
+            while len(row):
+                row = row[row + lag < end[row]]
+                row = row[n[row] >= similarity * n[row + lag] - 1e-6]
+                one = row[label[row] != label[row + lag]]
+                other = one + lag
+                fits = np.minimum(n[one] - at[one], n[other] - at[other]) >= _need(n[one], n[other], similarity)
+                one, other = one[fits], other[fits]
+                differ = np.bitwise_count(sketches[one] ^ sketches[other]).sum(axis=1)
+                near = differ <= (_most_bits(np.minimum(n[one], n[other]), similarity) if most is None else most)
+                one, other = one[near], other[near]
+                if spanning and len(one):
+                    up = np.arange(label.max() + 1)
+                    chosen = []
+                    for k, (x, y) in enumerate(zip(label[one].tolist(), label[other].tolist(), strict=True)):
+                        while up[x] != x:
+                            x = up[x]
+                        while up[y] != y:
+                            y = up[y]
+                        if x != y:
+                            up[max(x, y)] = min(x, y)
+                            chosen.append(k)
+                    while (up[up] != up).any():
+                        up = up[up]
+                    label, one, other = up[label], one[chosen], other[chosen]
+                if len(one):
+                    found.append(np.sort(node[np.stack([one, other], axis=1)], axis=1))
+                lag += 1
         both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # What belongs to the last shingle waits for its other rows.
-            token = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(token, token[-1]))
-            if cut or (held and held[-1].column(0)[-1].as_py() != token[0]):
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield pairs(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(compared, "a long, b long").distinct()
+    return dealt.mapInArrow(lambda batches: map(pairs, _whole_groups(batches)), "a long, b long").distinct()
 
 
 def _short(h: np.ndarray) -> bytes:
@@ -436,47 +485,30 @@ def _wide(data: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def likely(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sketches leave it possible that they are similar: up to eight standard deviations off."""
-    one = nodes.select("__ll_set", F.col("__ll_sk").alias("s"), F.col("__ll_n").alias("n"))
-    joined = pairs.join(one.toDF("a", "sa", "na"), "a").join(one.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "sb", "na", "nb")
-    share = (1 - similarity) / 2
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, 4) for i in (2, 3))
-                n = np.minimum(*(batch.column(i).to_numpy() for i in (4, 5)))
-                most = 256 * share + 8 * np.sqrt(256 * share * (1 - share) * (1 + 256 / n))
-                yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most))
-
-    return joined.mapInArrow(chosen, "a long, b long")
-
-
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float, together: int = 256) -> DataFrame:
-    """Those of ``pairs`` (a, b: names of sets of ``nodes``) whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+    """Those of ``pairs`` (a, b: reps of ``nodes``) whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
     Pairs are dealt by ``a``, of which no more than about ``together`` pairs meet in one place, so an ``a`` with very many is split.
     What is shuffled are 40-bit hashes of shingles, once for each pair and once for each place of an ``a``.
     """
     pairs = common.stored(pairs)
-    reps = nodes.select("rep", "__ll_set")
+    sets = nodes.select(F.col("rep").alias("doc_id"), "__ll_set")
     heads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).alias("places"))
-    firsts = heads.join(reps, F.col("a") == F.col("__ll_set")).select(F.col("rep").alias("doc_id"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(1), "places")).alias("place"))
-    others = pairs.join(heads, "a").join(reps, F.col("b") == F.col("__ll_set")).select(F.col("rep").alias("doc_id"), "a", "b", (F.pmod(F.xxhash64("b"), "places") + 1).alias("place"))
-    needs = common.stored(firsts.unionByName(others))
-    texts = with_ids(docs, needs).select("doc_id", "text", "a", "b", "place")
+    firsts = heads.select(F.col("a").alias("doc_id"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(1), "places")).alias("place"))
+    others = pairs.join(heads, "a").select(F.col("b").alias("doc_id"), "a", "b", (F.pmod(F.xxhash64("b"), "places") + 1).alias("place"))
+    needs = common.stored(firsts.unionByName(others).join(sets, "doc_id"))
+    texts = with_ids(docs, needs).select("doc_id", "text", "a", "b", "place", "__ll_set")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, data, key = None, b"", 0
         for batch in batches:
             for part in common.parts(batch):
                 out: list[tuple] = []
-                for text, a, b, place in zip(common.utf8(part.column(1)), *(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                for text, a, b, place, own in zip(common.utf8(part.column(1)), *(part.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                     if text != before:
                         h = shingles(text.translate(_LOWER).split(), width)
                         before, data, key = text, _short(h), set_key(h)
-                    if key == (a if b is None else b):
+                    if key == own:
                         out.append((a, place, b, data))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["a", "place", "b", "h"])
@@ -485,16 +517,18 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, si
     dealt = texts.mapInArrow(made, "a long, place long, b long, h binary").repartition("a", "place").sortWithinPartitions("a", "place", "b")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, own = None, np.zeros(0, dtype=np.uint64)
+        current, own = None, []
         for batch in batches:
             good: list[tuple] = []
             for i, (a, place, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
                 h = _wide(batch.column(3)[i].as_py())
                 if b is None:
-                    current, own = (a, place), h
+                    # The node of a document of several texts has several sets.
+                    own = [*own, h] if current == (a, place) else [h]
+                    current = (a, place)
                 elif current == (a, place):
-                    both = len(np.intersect1d(own, h, assume_unique=True))
-                    if both >= similarity * (len(own) + len(h) - both):
+                    both = [len(np.intersect1d(x, h, assume_unique=True)) for x in own]
+                    if any(k >= similarity * (len(x) + len(h) - k) for k, x in zip(both, own, strict=True)):
                         good.append((a, b))
             columns = list(zip(*good, strict=True)) if good else [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
@@ -513,31 +547,42 @@ def similar_classes(docs: DataFrame, *, width: int = 5, similarity: float = 0.8,
 
     First the close pairs, of which there may be very many: fingerprints of the distinct words within ``radius`` bits and 256-bit sketches
     of the ``width``-word shingles that differ in no more bits than the similarity and 0.05 let expect; of each component of these
-    links every member is verified against one. Then all other pairs that can be similar (``candidates``), looked for between the
-    components that are known; sketches rule out most of them. Every link is verified by the exact similarity, and no pair is lost.
+    links every member is verified against one. Then, by an exact prefix filter, all other pairs that can be similar, looked for between
+    the components that are known: first as few as connect what each token brings together, and then whatever is still apart. Every
+    link is verified by the exact similarity, and no pair is lost.
     """
     most = round(256 * (1 - min(1.0, similarity + 0.05)) / 2)
     prints = common.stored(with_sketches(docs, width))
     named = prints.where("doc_id is not null")
-    firsts = [F.first(x).alias(x) for x in ("__ll_fp", "__ll_sk", "__ll_n")]
-    nodes = common.stored(named.groupBy("__ll_set").agg(F.min("doc_id").alias("rep"), *firsts))
-    near = components(common.stored(links(nodes.select(F.col("__ll_set").alias("rep"), "__ll_fp", "__ll_sk"), radius, hot_bucket, most)))
-    close = near.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    # Rows of one doc_id count as one document.
-    several = named.groupBy("doc_id").agg(F.min("__ll_set").alias("a"), F.max("__ll_set").alias("z")).where("a != z").select("doc_id", "a")
-    own = common.stored(named.join(several, "doc_id").where("__ll_set != a").select("a", F.col("__ll_set").alias("b")))
-    sure = common.stored(verified(docs, nodes, close, width, similarity))
-    # These links are stars around the smallest member; only documents of several rows can join them.
-    joined = sure.select(F.col("b").alias("node"), F.col("a").alias("component")) if own.isEmpty() else components(sure.unionByName(own)).where("node != component")
-    known = common.stored(nodes.join(joined, F.col("__ll_set") == F.col("node"), "left").select("rep", "__ll_set", F.coalesce("component", "__ll_set").alias("component")))
-    possible = likely(nodes, candidates(docs, known, width, similarity), similarity)
-    more = verified(docs, nodes, possible, width, similarity)
-    of = known.select("__ll_set", "component")
-    between = more.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    linked = components(between).toDF("component", "c")
-    whole = known.join(linked, "component", "left").select("rep", "__ll_set", F.coalesce("c", "component").alias("c"))
-    least = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
-    return prints.join(whole.join(least, "c").select("__ll_set", "component_id"), "__ll_set", "left").select("doc_id", "component_id")
+    # A set of shingles goes by its smallest doc_id, and so does the component that it is in: a component's name is its smallest member.
+    nodes = common.stored(named.groupBy("__ll_set").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("__ll_fp", "__ll_sk"))))
+    near = components(common.stored(links(nodes.select("rep", "__ll_fp", "__ll_sk"), radius, hot_bucket, most)))
+    sure = common.stored(verified(docs, nodes, near.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")), width, similarity))
+    # Rows of one doc_id count as one document, which joins the nodes of all of its texts.
+    several = named.groupBy("doc_id").agg(F.min("__ll_set").alias("x"), F.max("__ll_set").alias("y")).where("x != y").select("doc_id")
+    own = common.stored(named.join(several, "doc_id").join(nodes.select("__ll_set", "rep"), "__ll_set").where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+
+    def grown(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        """``nodes`` whose components (by name) ``edges`` join."""
+        joined = nodes.join(components(edges).toDF("component", "c"), "component", "left")
+        return common.stored(joined.select("rep", "__ll_set", "__ll_sk", F.coalesce("c", "component").alias("component")))
+
+    def between(known: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The components that ``pairs`` of nodes join."""
+        of = known.select("rep", "component").distinct()
+        return pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+    # The links that are sure are stars around their smallest members.
+    stars = nodes.join(sure.toDF("component", "rep"), "rep", "left").select("rep", "__ll_set", "__ll_sk", F.coalesce("component", "rep").alias("component"))
+    known = common.stored(stars)
+    if not own.isEmpty():
+        known = grown(known, between(known, own))
+    shared = common.stored(shared_prefixes(docs, known, width, similarity))
+    tried = common.stored(candidates(shared, known, similarity, spanning=True))
+    known = grown(known, between(known, verified(docs, nodes, tried, width, similarity)))
+    left = candidates(shared, known, similarity, spanning=False).join(tried, ["a", "b"], "left_anti")
+    whole = grown(known, between(known, verified(docs, nodes, left, width, similarity)))
+    return prints.join(whole.select("__ll_set", F.col("component").alias("component_id")), "__ll_set", "left").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
