@@ -123,19 +123,21 @@ class Model:
 
 
 def isotonic(good: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Pool-adjacent-violators: the non-decreasing means of good/total; empty bins take what lies between."""
+    """Pool-adjacent-violators over the shares of good, each drawn towards one half by one more row; empty bins join the bin before.
+
+    The drawn shares themselves are pooled until none exceeds the next, so the result never decreases, whatever the totals.
+    """
     blocks: list[list[float]] = []
+    share = lambda x: (x[0] + 0.5) / (x[1] + 1)
     for g, t in zip(good, total, strict=True):
-        if t:
-            blocks.append([float(g), float(t), 1])
-        elif blocks:
+        if not t and blocks:
             blocks[-1][2] += 1
-        else:
-            blocks.append([0.0, 0.0, 1])
-        while len(blocks) > 1 and (blocks[-2][1] == 0 or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
+            continue
+        blocks.append([float(g), float(t), 1])
+        while len(blocks) > 1 and (blocks[-2][1] == 0 or share(blocks[-2]) >= share(blocks[-1])):
             g2, t2, n2 = blocks.pop()
             blocks[-1] = [blocks[-1][0] + g2, blocks[-1][1] + t2, blocks[-1][2] + n2]
-    return np.concatenate([np.full(int(n), (g + 0.5) / (t + 1) if t else 0.5) for g, t, n in blocks])
+    return np.concatenate([np.full(int(x[2]), share(x)) for x in blocks])
 
 
 def _matrix(batch: pa.RecordBatch, column: int) -> np.ndarray:
@@ -176,11 +178,12 @@ def _summed_equations(rows: DataFrame, model: Model, groups: int) -> np.ndarray:
 def fit(stats: DataFrame, labels: DataFrame, groups: int = 8) -> Model:
     """A model from ``stats`` (of ``statistics``) and ``labels`` (doc_id, quality); rows of fold 0 are never looked at.
 
-    Folds 2, 3 and 4 give the normal equations, fold 1 the calibration. Labels that are null or neither 0 nor 1 are left out. With no
-    labelled row the model scores 0.5 for all.
+    Folds 2, 3 and 4 give the normal equations, fold 1 the calibration. Labels that are null or neither 0 nor 1 are left out. A doc_id
+    that ``labels`` has several times counts once, and not at all if its labels differ. With no labelled row the model scores 0.5 for all.
     """
     model = Model()
-    known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("__ll_id"), F.col("quality").cast("double").alias("y"))
+    marks = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("__ll_id")).agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
+    known = marks.where("y = z").select("__ll_id", F.col("y").cast("double").alias("y"))
     rows = common.stored(stats.where("__ll_fold != 0").join(known, F.col("doc_id") == F.col("__ll_id")).select("__ll_fold", "__ll_x", "y"))
     moments = rows.select(*(F.col("__ll_x")[i].alias(f"x{i}") for i in range(len(NAMES)))).agg(
         F.count(F.lit(1)).alias("n"),

@@ -1,35 +1,41 @@
 """Quality rules whose thresholds adapt to language and source.
 
-Document statistics are summed up, for each language and source, in mergeable quantile sketches (``approx_percentile``: partial
-sketches on the map side, merged after one small shuffle of sketches). A document is rejected if a statistic lies beyond the fence of
-its group: upper quartile plus a multiple of the quartile distance, but never below a floor that
-clean prose stays under. A source that is junk as a whole would move its own quartiles, so each fence is also capped by that of the
-language. Text is never shuffled.
+Each statistic of a document is a count out of a total (repeated lines of all lines, capitals of all letters), taken as its empirical
+log odds. For each language and source a mergeable quantile sketch sums up every statistic: the log odds in cells of equal width, which
+are merged by adding their counts, so that any quantile is known to half a cell. A document is rejected if a statistic lies beyond the
+fence of its group: the upper quartile and three quartile distances more. Nothing but the group's own quartiles moves a fence; a group
+whose quartiles (nearly) coincide counts as having a least distance. A source that is junk as a whole, its median beyond the fence of its
+language, is judged by that fence.
+
+Scale: sketches are built on the map side and merged by (group, statistic, cell), so a source that holds most documents is dealt over as
+many keys as it has cells; the final quartiles read one bounded sketch per group. Text is never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-EXTRA = "upper_share double, symbol_share double, dup_line_share double, stutter_share double, bar_share double, mark_share double"
-#: A statistic's floor: no document below it is rejected for that statistic.
-FLOORS = {"upper_share": 0.45, "symbol_share": 0.25, "dup_line_share": 0.5, "stutter_share": 0.15, "bar_share": 0.2, "mark_share": 0.3}
-#: No fence lies above: beyond it a document is rejected in any group.
-CEILINGS = {"upper_share": 0.8, "symbol_share": 0.8, "dup_line_share": 0.8, "stutter_share": 0.5, "bar_share": 0.7, "mark_share": 0.7}
-#: Quartile distances beyond the upper quartile.
+#: The statistics that fences look at; each is the log odds of a count out of a total.
+STATISTICS = ["upper", "symbols", "dup_lines", "stutter", "bars", "marks"]
+#: Quartile distances beyond the upper quartile: the outer fence of a box plot.
 SPREAD = 3.0
+#: The least quartile distance, in log odds, that a group counts as having.
+LEAST_SPREAD = 0.5
 #: Groups with fewer documents use the thresholds of their language, and such languages those of all documents.
 LEAST_GROUP = 50
+#: Width of a sketch's cells, in log odds; log odds of counts lie within some 45 of zero, so a sketch has 4,500 cells at most.
+CELL = 0.02
 #: The thresholds are broadcast up to so many groups (about 100 bytes each), and joined by a shuffle beyond.
 BROADCAST_GROUPS = 100_000
 
@@ -64,12 +70,12 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
     return int((np.cumsum(edge)[:n] > 0).sum())
 
 
-def text_statistics(data: bytes) -> tuple:
-    """The base statistics of one UTF-8 text and the shares that the adaptive rules look at."""
+def text_counts(data: bytes) -> tuple[tuple, tuple]:
+    """The base statistics of one UTF-8 text, and (count, total) of each of STATISTICS."""
     words = data.split()  # for bytes, exactly the six ASCII white-space characters
     n = len(words)
     if not n:
-        return (0, 0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        return (0, 0, 0, 0, 0), ((0, 0),) * len(STATISTICS)
     chars = len(data.translate(None, _NOT_WORD))
     symbols = len(data) - len(data.translate(None, _SYMBOLS))
     lines = [x for x in data.split(b"\n") if x.strip()]
@@ -80,12 +86,23 @@ def text_statistics(data: bytes) -> tuple:
     bars = words.count(b"|")
     marks = sum(w.endswith(b"!!") for w in words)
     stutter = sum(map(operator.eq, words, islice(words, 1, None)))
-    return (n, chars, symbols, dup, repeat, upper / max(1, letters), symbols / n, dup / len(lines), stutter / n, bars / n, marks / n)
+    return (n, chars, symbols, dup, repeat), ((upper, letters), (symbols, n), (dup, len(lines)), (stutter, n), (bars, n), (marks, n))
+
+
+def text_statistics(data: bytes) -> tuple:
+    """The base statistics of one UTF-8 text and the shares of STATISTICS."""
+    base, counts = text_counts(data)
+    return (*base, *(c / t if t else 0.0 for c, t in counts))
+
+
+def log_odds(count: int, total: int) -> float:
+    """Of a count out of a total, with half an event added on both sides, so that no share is infinitely rare."""
+    return math.log((count + 0.5) / (max(0, total - count) + 0.5))
 
 
 def with_statistics(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """``docs`` with a column __ll_<name> for each statistic of its text; null text counts as empty."""
-    made = [(f"__ll_{x.split()[0]}", x.split()[1]) for x in f"{BASE}, {EXTRA}".split(", ")]
+    """``docs`` with a column __ll_<name> for each base statistic of its text and the log odds of STATISTICS; null text counts as empty."""
+    made = [(f"__ll_{x.split()[0]}", x.split()[1]) for x in [*BASE.split(", "), *(f"{x} double" for x in STATISTICS)]]
     at = docs.columns.index("text")
     passed = [f for i, f in enumerate(docs.schema) if keep_text or i != at]
 
@@ -93,7 +110,7 @@ def with_statistics(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         kinds = [pa.int64() if k == "long" else pa.float64() for _, k in made]
         for batch in batches:
             for part in common.parts(batch, column=at):
-                rows = [text_statistics(x) for x in common.utf8(part.column(at))]
+                rows = [(*base, *(log_odds(*x) for x in counts)) for base, counts in map(text_counts, common.utf8(part.column(at)))]
                 new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 old = [part.column(i) for i in range(part.num_columns) if keep_text or i != at]
                 yield pa.RecordBatch.from_arrays([*old, *new], [*(f.name for f in passed), *(n for n, _ in made)])
@@ -111,33 +128,49 @@ def base_failed(prefix: str = "") -> Column:
     return (n < 20) | (100 * repeat > 30 * n)
 
 
-def thresholds(stats: DataFrame, spread: float = SPREAD, least: int = LEAST_GROUP, accuracy: int = 2000) -> DataFrame:
-    """The fence of every statistic for each (lang, source) of ``stats``: __ll_lang, __ll_source, __ll_f_<statistic>.
+def sketches(stats: DataFrame) -> DataFrame:
+    """The quantile sketches of ``stats``: level, __ll_lang, __ll_source, stat, cell, n.
 
-    Sketches of (lang, source), of lang and of everything come from one pass over ``stats`` with grouping sets.
+    level 0: for each language and source; 1: for each language, merged from those; 2: of everything.
     """
-    names = list(FLOORS)
-    levels = stats.where(~base_failed("__ll_")).rollup("__ll_lang", "__ll_source").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.grouping_id().alias("level"),
-        *(F.percentile_approx(f"__ll_{x}", [0.25, 0.75], accuracy).alias(x) for x in names),
-    )
+    passed = stats.where(~base_failed("__ll_"))
+    cells = F.array(*(F.floor(F.col(f"__ll_{x}") / CELL).cast("int") for x in STATISTICS))
+    flat = passed.select("__ll_lang", "__ll_source", F.posexplode(cells).alias("stat", "cell"))
+    fine = common.stored(flat.groupBy("__ll_lang", "__ll_source", "stat", "cell").agg(F.count(F.lit(1)).alias("n")))
 
-    def fence(x: str) -> Column:
-        q1, q3 = F.col(x)[0], F.col(x)[1]
-        return F.least(F.greatest(q3 + spread * (q3 - q1), F.lit(FLOORS[x])), F.lit(CEILINGS[x]))
+    def merged(level: int, *keys: str) -> DataFrame:
+        sums = fine.groupBy(*keys, "stat", "cell").agg(F.sum("n").alias("n")) if level else fine
+        names = [F.col(k) if k in keys else F.lit("").alias(k) for k in ("__ll_lang", "__ll_source")]
+        return sums.select(F.lit(level).alias("level"), *names, "stat", "cell", "n")
 
-    fenced = common.stored(levels.select("__ll_lang", "__ll_source", "n", "level", *(fence(x).alias(x) for x in names)))
-    fine = fenced.where("level = 0")
-    lang = fenced.where(f"level = 1 and n >= {least}").select("__ll_lang", *(F.col(x).alias(f"l_{x}") for x in names))
-    total = fenced.where("level = 3").first()  # the grand total: one row, whatever the input
-    joined = fine.join(lang, "__ll_lang", "left")
+    return merged(0, "__ll_lang", "__ll_source").unionByName(merged(1, "__ll_lang")).unionByName(merged(2))
 
-    def chosen(x: str) -> Column:
-        wide = F.coalesce(F.col(f"l_{x}"), F.lit(total[x] if total else None))
-        return F.when(F.col("n") >= least, F.least(F.col(x), wide)).otherwise(wide)
 
-    return joined.select("__ll_lang", "__ll_source", *(chosen(x).alias(f"__ll_f_{x}") for x in names))
+def quartiles(cells: DataFrame) -> DataFrame:
+    """level, __ll_lang, __ll_source, stat, n and the quartiles q1, q2, q3 (the middles of their cells) of each sketch."""
+    keys = ["level", "__ll_lang", "__ll_source", "stat"]
+    below = F.sum("n").over(Window.partitionBy(*keys).orderBy("cell"))  # over one row per cell
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    counted = cells.withColumn("below", below).withColumn("total", total)
+    quartile = lambda p: ((F.min(F.when(F.col("below") >= p * F.col("total"), F.col("cell"))) + 0.5) * CELL)
+    return counted.groupBy(*keys).agg(F.max("total").alias("n"), *(quartile(p).alias(f"q{i}") for i, p in enumerate((0.25, 0.5, 0.75), 1)))
+
+
+def thresholds(stats: DataFrame, spread: float = SPREAD, least: int = LEAST_GROUP, least_spread: float = LEAST_SPREAD) -> DataFrame:
+    """The fence of every statistic for each (lang, source) of ``stats``: __ll_lang, __ll_source, __ll_f_<statistic>, in log odds.
+
+    A group's own fence; that of its language if the group has fewer than ``least`` documents or its median lies beyond that fence; and
+    that of all documents if the language has fewer.
+    """
+    fence = F.col("q3") + spread * F.greatest(F.col("q3") - F.col("q1"), F.lit(least_spread))
+    fenced = common.stored(quartiles(sketches(stats)).select("level", "__ll_lang", "__ll_source", "stat", "n", "q2", fence.alias("fence")))
+    own = fenced.where("level = 0").drop("level")
+    lang = fenced.where(f"level = 1 and n >= {least}").select("__ll_lang", "stat", F.col("fence").alias("wide"))
+    total = fenced.where("level = 2").select("stat", F.col("fence").alias("widest"))  # one row per statistic
+    joined = own.join(lang, ["__ll_lang", "stat"], "left").join(F.broadcast(total), "stat")
+    wide = F.coalesce("wide", "widest")
+    chosen = joined.withColumn("fence", F.when((F.col("n") >= least) & (F.col("q2") <= wide), F.col("fence")).otherwise(wide))
+    return chosen.groupBy("__ll_lang", "__ll_source").agg(*(F.max(F.when(F.col("stat") == i, F.col("fence"))).alias(f"__ll_f_{x}") for i, x in enumerate(STATISTICS)))
 
 
 def judge(docs: DataFrame, keep_text: bool = True, **options) -> DataFrame:
@@ -145,18 +178,20 @@ def judge(docs: DataFrame, keep_text: bool = True, **options) -> DataFrame:
 
     kept is false if the base rules fail or if a statistic exceeds its fence. Null or missing lang and source form groups of their
     own. Groups without any document that passes the base rules have no fence; their documents have failed anyhow. Every document,
-    repeated ones too, gets one row. The text is read twice, once for the sketches and once for the verdict, and never shuffled.
+    repeated ones too, gets one row. Text is never shuffled; where it is kept it is read twice, for the sketches and for the verdict.
     """
-    names = list(FLOORS)
     keys = [_group(x, docs.columns).alias(f"__ll_{x}") for x in ("lang", "source")]
-    light = with_statistics(docs.select("text", *keys), keep_text=False)
-    fences = common.stored(thresholds(light, **options))
     full = with_statistics(docs.select("*", *keys), keep_text)
+    if keep_text:
+        light = with_statistics(docs.select("text", *keys), keep_text=False)
+    else:
+        light = full = common.stored(full)
+    fences = common.stored(thresholds(light, **options))
     if fences.count() <= BROADCAST_GROUPS:
         fences = F.broadcast(fences)
     joined = full.join(fences, ["__ll_lang", "__ll_source"], "left")
     beyond = F.lit(False)
-    for x in names:
+    for x in STATISTICS:
         beyond = beyond | F.coalesce(F.col(f"__ll_{x}") > F.col(f"__ll_f_{x}"), F.lit(False))
     return joined.withColumn("__ll_base_failed", base_failed("__ll_")).withColumn("__ll_kept", ~F.col("__ll_base_failed") & ~beyond)
 

@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logloom.llm import catalog, classifier
@@ -63,6 +65,28 @@ def test_isotonic():
     assert p[1] == p[2]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1000), st.integers(0, 1000)), min_size=1, max_size=12))
+def test_isotonic_never_decreases(pairs):
+    good, total = np.array([min(p) for p in pairs]), np.array([max(p) for p in pairs])
+    p = classifier.isotonic(good, total)
+    assert len(p) == len(pairs) and (np.diff(p) >= 0).all() and (p > 0).all() and (p < 1).all()
+
+
+def test_isotonic_of_unequal_totals():
+    p = classifier.isotonic(np.array([0, 0, 10, 900]), np.array([1, 0, 1000, 1000]))
+    assert (np.diff(p) >= 0).all() and abs(p[-1] - 900.5 / 1001) < 1e-12
+
+
+def test_repeated_labels(spark, documents, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    docs = documents.select("doc_id", "text")
+    torn = labels.where("doc_id % 7 = 0").withColumn("quality", 1 - F.col("quality"))
+    stats = classifier.statistics(docs).cache()
+    plain, twice, less, mixed = (classifier.fit(stats, x).weights for x in (labels, labels.unionByName(labels), labels.where("doc_id % 7 != 0"), labels.unionByName(torn)))
+    assert np.allclose(plain, twice) and np.allclose(less, mixed) and not np.allclose(plain, mixed)
+
+
 def test_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1, "x"), (4, 0, "x"), (6, None, "x"), (7, 5, "x"), (None, 1, "x")], "doc_id long, quality int, text string")
     got = classifier.classify(odd, labels).collect()
