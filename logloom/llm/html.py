@@ -53,6 +53,7 @@ BLOCK = set(
 CELLS = {"td", "th"}
 #: An open element of the first kind ends where one of the second begins.
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
+CLOSES = {t: [x for x, by in CLOSED_BY.items() if t in by] for t in set().union(*CLOSED_BY.values())}
 LAYOUT = set("body div section main article table".split())
 CONTAINERS = set("html body div section main article table tbody tr td center span".split())
 NOT_TEXT = set("nav footer aside form button head dialog menu label input".split()) | RAW
@@ -130,7 +131,7 @@ def parse(text: str) -> Node:
                     i -= 1
                 cut(i)
             continue
-        i = len(stack) - 1
+        i = len(stack) - 1 if any(open_tags.get(x) for x in CLOSES.get(tag, ())) else 0
         while i > 0:
             if tag in CLOSED_BY.get(stack[i].tag, ()):
                 cut(i)
