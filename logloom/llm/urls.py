@@ -4,9 +4,10 @@ Listed rules are keys ``host + path prefix``. A URL may match the key of each of
 path. All of these candidate keys are tested against a blocked Bloom filter (each key sets and tests bits of one 64-bit word only),
 and the few that pass go on to an exact hash join with the list, which removes the false positives. The longest matching rule wins.
 
-Scale: the filter has about 16 bits per rule and travels with the plan as a literal up to ``bloom_rules`` rules, a checked bound;
-beyond it the candidates go straight to the join, which is exact by itself. The join shuffles the distinct passing URLs, not the pages.
-All expressions are built-in ones.
+Scale: the filter has about 16 bits per rule and travels with the plan as one binary literal up to ``bloom_rules`` rules, a checked
+bound; beyond it all candidates go to the join, which is exact by itself. A page none of whose keys passes is judged where it is read.
+Only pages with passing keys are exploded, joined and gathered again, each by a number of its own, so neither a URL that a third of all
+pages share nor missing URLs meet in one task. All expressions are built-in ones.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ CONTRACT_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow",
 LISTED_HOSTS = [f"{name}.example.{top}/" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 #: Most rules whose filter travels with the plan (16 bits each: 2 MB).
 BLOOM_RULES = 1_000_000
+#: Most rules that are broadcast to the exact join; beyond it both sides are shuffled.
+BROADCAST_RULES = 10_000
 _BITS_PER_WORD = 4
 
 
@@ -41,20 +44,21 @@ def _mask(h: Column) -> Column:
     return out
 
 
-def bloom_words(rules: DataFrame, words: int) -> list[int]:
-    """The filter over column ``key``: each key's bits, united by word."""
+def bloom_filter(rules: DataFrame, words: int) -> bytes:
+    """The filter over column ``key``: each key's bits, united by word; words of eight bytes, the highest first."""
     h = F.xxhash64("key")
     made = rules.select(F.pmod(F.shiftrightunsigned(h, 32), F.lit(words)).alias("w"), _mask(h).alias("m"))
-    out = [0] * words
-    for w, m in made.groupBy("w").agg(F.bit_or("m").alias("m")).collect():
-        out[w] = m
-    return out
+    out = bytearray(8 * words)
+    for w, m in made.groupBy("w").agg(F.bit_or("m").alias("m")).toLocalIterator():
+        out[8 * w : 8 * w + 8] = m.to_bytes(8, "big", signed=True)
+    return bytes(out)
 
 
-def might_hold(key: Column, filled: list[int]) -> Column:
+def might_hold(key: Column, filled: bytes) -> Column:
     """Whether the filter may hold ``key``."""
     h = F.xxhash64(key)
-    word = F.element_at(F.array(*(F.lit(x).cast("long") for x in filled)), (F.pmod(F.shiftrightunsigned(h, 32), F.lit(len(filled))) + 1).cast("int"))
+    at = F.pmod(F.shiftrightunsigned(h, 32), F.lit(len(filled) // 8)).cast("int")
+    word = F.conv(F.hex(F.substring(F.lit(filled), 8 * at + 1, 8)), 16, -10).cast("long")
     return word.bitwiseAND(_mask(h)) == _mask(h)
 
 
@@ -86,17 +90,19 @@ def judge_pages(pages: DataFrame, rules: DataFrame, bloom_rules: int = BLOOM_RUL
     host, path = split_url(F.col("url").cast("string"))
     split = pages.select("page_id", "url").withColumn("host", host).withColumn("path", path)
     # collect_set is bounded by the length of the longest rule
-    keys = split.select("host", "path").distinct().where("host != ''").withColumn("key", F.explode(candidates(F.col("host"), F.col("path"), sorted(found.lengths) or [1])))
-    small = found.n <= bloom_rules
-    if small:
-        filled = bloom_words(clean, max(16, found.n // 4))
-        keys = keys.where(might_hold(F.col("key"), filled))
-    exact = keys.join(F.broadcast(clean) if found.n <= 10_000 else clean, "key")
+    keys = F.when(F.col("host") != "", candidates(F.col("host"), F.col("path"), sorted(found.lengths) or [1]))
+    if found.n <= bloom_rules:
+        filled = bloom_filter(clean, max(16, found.n // 4))
+        keys = F.filter(keys, lambda k: might_hold(k, filled))
+    marked = split.select("page_id", "host", "path", F.coalesce(keys, F.array().cast("array<string>")).alias("keys"))
+    none = marked.where(F.size("keys") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    some = marked.where(F.size("keys") > 0).withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.explode("keys"))
+    exact = some.join(F.broadcast(clean) if found.n <= BROADCAST_RULES else clean, "key", "left")
     rank = F.struct(F.length("key").alias("n"), F.col("key").alias("key"), F.col("action").alias("action"))
-    best = exact.groupBy("host", "path").agg(
+    best = exact.groupBy("row").agg(
+        *(F.first(x).alias(x) for x in ("page_id", "host", "path")),
         F.max(F.when(~F.col("listed"), rank)).alias("best"),
         F.max(F.when(F.col("listed"), rank)).alias("spam"),
     )
-    joined = split.join(best, ["host", "path"], "left")
     verdict = F.coalesce("best.action", "spam.action", F.lit("allow"))
-    return joined.select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
+    return none.unionByName(best.select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict")))

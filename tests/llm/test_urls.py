@@ -51,12 +51,22 @@ def test_same_verdicts_without_the_filter(spark, data):
 
 def test_filter_has_no_false_negatives_and_drops_most(spark):
     keys = spark.range(2000).selectExpr("concat('h', id, '.org/') as key")
-    words = urls.bloom_words(keys, 500)
+    words = urls.bloom_filter(keys, 500)
     other = spark.range(5000).selectExpr("concat('other', id, '/') as key")
     assert keys.where(~urls.might_hold(keys.key, words)).isEmpty()
     assert other.where(urls.might_hold(other.key, words)).count() < 500
 
 
+def test_a_million_rules_travel_as_one_literal(spark):
+    rules = spark.range(1_000_000).selectExpr("concat('h', id, '.org/') as rule", "if(id % 2 = 0, 'block', 'allow') as action", "false as listed")
+    rows = [(i, f"http://www.h{i * 77777}.org/x/{i}") for i in range(20)] + [(100 + i, f"http://h{i}.com/") for i in range(20)]
+    made = urls.judge_pages(spark.createDataFrame(rows, "page_id long, url string"), rules)
+    assert "h77777" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.page_id: (r.rule, r.verdict) for r in made.collect()}
+    want = {i: (f"h{i * 77777}.org/", "allow" if i * 77777 % 2 else "block") if i * 77777 < 10**6 else (None, "allow") for i in range(20)}
+    assert got == want | {100 + i: (None, "allow") for i in range(20)}
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "x"), (None, "http://a.com/en/", "y"), (1, None, "x"), (2, "", "z")], "page_id long, url string, host string")
     got = urls.judge_pages(pages, urls.default_rules(spark)).collect()
