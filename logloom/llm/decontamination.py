@@ -6,11 +6,18 @@ and again, until none of ``min_match`` words is left; since tiles may lie in any
 contaminated by an item if the tiles cover at least ``threshold`` of the item's words.
 
 Scale: documents are read in one map and never shuffled. Benchmarks go to the executors in blocks of at most ``block_bytes``, a checked
-size; a larger benchmark takes one pass over the documents per block, so memory stays bounded. Only hits leave the map.
+size; a larger benchmark takes one pass over the documents per block. A block's index consists of a few arrays (about 60 bytes a word,
+some 160 MB for a full block) and is built once in each worker process. Seeds that follow each other on a diagonal are one run, and only
+the starts of runs are kept, so texts that repeat one word over and over need no room for all pairs of their places. Only hits leave
+the map.
 """
 
 from __future__ import annotations
 
+import heapq
+import sys
+import types
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -44,91 +51,114 @@ def running_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def tiles(doc: list[int], item: list[int], width: int, seeds: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (document start, item start, length), longest first, ties by document and then item position.
+def greedy(runs: list[tuple[int, int, int]], width: int) -> list[tuple[int, int, int]]:
+    """Tiles out of maximal matches (document start, item start, length): longest first, ties by document and then item position.
 
-    seeds: the pairs of positions with an equal window of ``width`` words; found here if missing. A word belongs to one tile at most.
+    A word belongs to one tile at most; what is left of a match beside earlier tiles is a match again if it has ``width`` words.
     """
-    if seeds is None:
-        where = defaultdict(list)
-        for j in range(len(item) - width + 1):
-            where[tuple(item[j : j + width])].append(j)
-        seeds = [(i, j) for i in range(len(doc) - width + 1) for j in where.get(tuple(doc[i : i + width]), ())]
-    # Seeds on one diagonal that follow each other are one maximal match.
-    runs: list[list[int]] = []
-    for i, j in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
-        if runs and runs[-1][0] - runs[-1][1] == i - j and i == runs[-1][0] + runs[-1][2] - width + 1:
-            runs[-1][2] += 1
-        else:
-            runs.append([i, j, width])
-    used_doc, used_item, made = set(), set(), []
-    import heapq
-
+    if not runs:
+        return []
+    used_doc, used_item = (np.zeros(max(r[k] + r[2] for r in runs), dtype=bool) for k in (0, 1))
+    made = []
     queue = [(-n, i, j) for i, j, n in runs]
     heapq.heapify(queue)
     while queue:
         n, i, j = heapq.heappop(queue)
         n = -n
-        free = [not (i + k in used_doc or j + k in used_item) for k in range(n)]
-        if all(free):
+        used = used_doc[i : i + n] | used_item[j : j + n]
+        if not used.any():
             made.append((i, j, n))
-            used_doc.update(range(i, i + n))
-            used_item.update(range(j, j + n))
+            used_doc[i : i + n] = True
+            used_item[j : j + n] = True
             continue
-        begin = None
-        for k in range(n + 1):
-            if k < n and free[k]:
-                begin = k if begin is None else begin
-            elif begin is not None:
-                if k - begin >= width:
-                    heapq.heappush(queue, (begin - k, i + begin, j + begin))
-                begin = None
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], used, [True]]).astype(np.int8)))
+        for begin, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if end - begin >= width:
+                heapq.heappush(queue, (begin - end, i + begin, j + begin))
     return made
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading words two sequences share."""
+    n, done, step = min(len(a), len(b)), 0, 32
+    while done < n:
+        differ = np.flatnonzero(a[done : min(n, done + step)] != b[done : min(n, done + step)])
+        if len(differ):
+            return done + int(differ[0])
+        done, step = done + step, step * 2
+    return n
+
+
 class Index:
-    """Benchmark items as ids of a vocabulary of their own, and the positions of their seed windows."""
+    """Benchmark items as arrays: the ids of their words, one after the other, and the places of their seed windows sorted by hash.
+
+    A word's id is its place in the sorted vocabulary of the items. Items shorter than a seed have to occur whole: they are windows of
+    their own width.
+    """
 
     def __init__(self, items: list[tuple[int, bytes]], width: int):
-        self.width, self.vocabulary, self.items = width, {}, []
         fold = _fold()
-        where = defaultdict(list)
-        for item_id, text in items:
-            words = text.translate(fold).split()
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            least = min(width, len(ids))  # items shorter than a seed must occur whole
-            if least:
-                at = len(self.items)
-                self.items.append((item_id, ids, least))
-                for j, h in enumerate(running_hashes(np.array(ids), least).tolist()):
-                    where[least, h].append((at, j))
-        self.widths = {w: np.array(sorted({h for x, h in where if x == w}), dtype=np.uint64) for w in {w for w, _ in where}}
-        self.where = dict(where)
-
-    def hits(self, data: bytes, fold: bytes) -> list[tuple]:
-        """(item_id, item words, covered words, tiles) of every item that shares a seed with the text."""
+        rows = [(item_id, text.translate(fold).split()) for item_id, text in items]
+        rows = [(item_id, words) for item_id, words in rows if words]
+        self.item_ids = [item_id for item_id, _ in rows]
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in rows for w in words}))}
+        self.begins = np.concatenate([[0], np.cumsum([len(words) for _, words in rows])]).astype(np.int64)
+        self.words = np.fromiter((self.vocabulary[w] for _, words in rows for w in words), dtype=np.int32, count=int(self.begins[-1]))
+        self.least = np.minimum(width, np.diff(self.begins))
+        self.tables = {}
+        for w in sorted(set(self.least.tolist())):
+            own = np.flatnonzero(self.least == w)
+            places = np.concatenate([np.arange(self.begins[k], self.begins[k + 1] - w + 1) for k in own])
+            hashes = running_hashes(self.words, w)[places]
+            order = np.argsort(hashes, kind="stable")
+            self.tables[w] = hashes[order], places[order]
+
+    def words_of(self, data: bytes, fold: bytes) -> np.ndarray:
+        """The ids of a text's words; -1 for those that no item has."""
         get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in data.translate(fold).split()), dtype=np.int64)
-        seeds = defaultdict(list)
-        for width, known in self.widths.items():
+        return np.fromiter((get(w, -1) for w in data.translate(fold).split()), dtype=np.int32)
+
+    def runs(self, ids: np.ndarray, most: int = 1 << 20) -> dict[int, list[tuple[int, int, int]]]:
+        """item number: its maximal matches (document start, item start, length) of at least the item's seed width."""
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        outside = np.concatenate([[0], np.cumsum(ids < 0)])
+        for width, (hashes, places) in self.tables.items():
             if len(ids) < width:
                 continue
-            outside = np.concatenate([[0], np.cumsum(ids < 0)])
             inside = np.flatnonzero(outside[width:] == outside[:-width])
-            if not len(inside):
-                continue
-            hashes = running_hashes(ids, width)[inside]
-            spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            for k in np.flatnonzero(known[spot] == hashes):
-                i = int(inside[k])
-                for at, j in self.where[width, int(hashes[k])]:
-                    if (ids[i : i + width] == self.items[at][1][j : j + width]).all():
-                        seeds[at].append((i, j))
+            own = running_hashes(ids, width)[inside]
+            low, high = np.searchsorted(hashes, own, side="left"), np.searchsorted(hashes, own, side="right")
+            hit = np.flatnonzero(high > low)
+            at, low, count = inside[hit], low[hit], (high - low)[hit]
+            for begin in self._pieces(count, most):
+                i = np.repeat(at[begin], count[begin])
+                first = np.cumsum(count[begin]) - count[begin]
+                j = places[np.repeat(low[begin] - first, count[begin]) + np.arange(len(i))]
+                item = np.searchsorted(self.begins, j, side="right") - 1
+                # A pair whose words before are equal as well lies within a run that began earlier.
+                before = (i > 0) & (j > self.begins[item]) & (ids[i - 1] == self.words[j - 1])
+                for x, y, k in zip(i[~before].tolist(), j[~before].tolist(), item[~before].tolist(), strict=True):
+                    n = _common(ids[x:], self.words[y : self.begins[k + 1]])
+                    if n >= width:
+                        found[k].append((x, y - int(self.begins[k]), n))
+        return found
+
+    @staticmethod
+    def _pieces(count: np.ndarray, most: int) -> Iterator[slice]:
+        """Slices of the matched places with about ``most`` pairs each, but one place at least."""
+        total = np.cumsum(count)
+        begin = 0
+        while begin < len(count):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, side="right")))
+            yield slice(begin, end)
+            begin = end
+
+    def hits(self, data: bytes, fold: bytes) -> list[tuple]:
+        """(item_id, item words, covered words, tiles) of every item that shares a seed with the text."""
         out = []
-        for at, pairs in sorted(seeds.items()):
-            item_id, item, width = self.items[at]
-            made = tiles([], [], width, pairs)
-            out.append((item_id, len(item), sum(n for _, _, n in made), sorted(made)))
+        for k, runs in sorted(self.runs(self.words_of(data, fold)).items()):
+            made = greedy(runs, int(self.least[k]))
+            out.append((self.item_ids[k], int(self.begins[k + 1] - self.begins[k]), sum(n for _, _, n in made), sorted(made)))
         return out
 
 
@@ -147,11 +177,21 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
         yield block
 
 
+def _index(name: str, items: list[tuple[int, bytes]], width: int) -> Index:
+    """The index of a block, kept for the life of the worker process; one at a time."""
+    kept = sys.modules.setdefault("_logloom_benchmark", types.ModuleType("_logloom_benchmark"))
+    if getattr(kept, "name", None) != name:
+        kept.index = None
+        kept.index, kept.name = Index(items, width), name
+    return kept.index
+
+
 def _with_index(docs: DataFrame, items: list[tuple[int, bytes]], width: int, made, schema: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    name = uuid.uuid4().hex
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, fold = Index(sent.value, width), _fold()
+        index, fold = _index(name, sent.value, width), _fold()
         for batch in batches:
             for part in common.parts(batch, column=batch.num_columns - 1):
                 yield made(part, index, fold)
@@ -164,7 +204,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, min_match: int = MIN_
 
     tiles: "document word:item word:length" joined by blanks, by place in the document. Words are runs of letters, digits and
     non-ASCII characters, A-Z lower-cased. Null and empty texts share nothing; an item shorter than ``min_match`` words has to occur
-    whole; repeated rows of either table each give their rows; null ids stay null; an empty table gives no rows.
+    whole; a text and an item of one word over and over share one run per place; repeated rows of either table each give their rows; null ids stay null; an empty table gives no rows.
     """
     schema = "doc_id long, item_id long, item_words long, covered_words long, coverage double, n_tiles long, tiles string"
 

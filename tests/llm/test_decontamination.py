@@ -1,53 +1,55 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from brute import contaminations, greedy_tiles
 from logloom.llm import catalog, decontamination
 
 
-def greedy(doc, item, width):
-    """Greedy tiling by its definition: mark the longest common run of unmarked words, again and again."""
-    free_doc, free_item, covered = [True] * len(doc), [True] * len(item), 0
-    while True:
-        best = (0, 0, 0)
-        for i in range(len(doc)):
-            for j in range(len(item)):
-                n = 0
-                while i + n < len(doc) and j + n < len(item) and free_doc[i + n] and free_item[j + n] and doc[i + n] == item[j + n]:
-                    n += 1
-                if n > best[0]:
-                    best = (n, i, j)
-        n, i, j = best
-        if n < width:
-            return covered
-        free_doc[i : i + n], free_item[j : j + n] = [False] * n, [False] * n
-        covered += n
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 2), max_size=24), st.lists(st.integers(0, 2), max_size=14), st.integers(2, 4))
-def test_tiles_cover_what_the_definition_covers(doc, item, width):
-    made = decontamination.tiles(doc, item, width)
-    assert all(doc[i : i + n] == item[j : j + n] and n >= width for i, j, n in made)
-    places = [k for i, _, n in made for k in range(i, i + n)], [k for _, j, n in made for k in range(j, j + n)]
-    assert all(len(p) == len(set(p)) for p in places)
-    if made:
-        assert max(n for _, _, n in made) == max_match(doc, item)
-    assert (not made) == (max_match(doc, item) < width)
-
-
-def max_match(doc, item):
-    return max((n for i in range(len(doc)) for j in range(len(item)) for n in range(1, min(len(doc) - i, len(item) - j) + 1) if doc[i : i + n] == item[j : j + n]), default=0)
-
-
-def test_cover_without_ties():
+def tiles(doc, item, width):
+    """The operator's tiles of one document and one item, both lists of words."""
+    index = decontamination.Index([(1, " ".join(item).encode())], width)
+    return [x[3] for x in index.hits(" ".join(doc).encode(), decontamination._fold())]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=30), st.lists(st.sampled_from("abc"), max_size=16), st.integers(1, 5))
+def test_tiles_are_those_of_the_definition(doc, item, width):
+    want = greedy_tiles(doc, item, min(width, len(item)))
+    assert tiles(doc, item, width) == ([want] if want else [])
+
+
+def test_one_word_over_and_over():
+    """The pairs of equal places are 60 million; their runs are few."""
+    began = time.perf_counter()
+    assert tiles(["a"] * 30_000, ["a"] * 2_000, 5) == [[(0, 0, 2000)]]
+    assert tiles(["a", "b"] * 5_000, ["b", "a"] * 500, 5) == [[(1, 0, 1000)]]
+    assert time.perf_counter() - began < 30
+
+
+def test_reordered_passages_are_covered():
     rng = random.Random(3)
     for _ in range(30):
-        item = rng.sample(range(100), 40)
+        item = [str(x) for x in rng.sample(range(100), 40)]
         cut = rng.randrange(8, 32)
-        doc = [*range(200, 210), *item[cut:], *range(300, 305), *item[:cut]]
-        assert sum(n for _, _, n in decontamination.tiles(doc, item, 5)) == greedy(doc, item, 5) == 40
+        doc = [*map(str, range(200, 210)), *item[cut:], *map(str, range(300, 305)), *item[:cut]]
+        assert sum(n for _, _, n in tiles(doc, item, 5)[0]) == 40
+
+
+def test_query_equals_brute_force(spark, data):
+    top = data.replace("0.001", "0.01")
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{top}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{top}/benchmark.parquet").collect()]
+    want = contaminations(docs, items)
+    got = {(r.doc_id, r.item_id): r for r in catalog.op9_decontamination(spark, top).collect()}
+    assert got.keys() == want.keys() and len(got) > 10
+    for key, (n, made) in want.items():
+        covered = sum(k for _, _, k in made)
+        r = got[key]
+        assert (r.item_words, r.covered_words, r.n_tiles, r.tiles) == (n, covered, len(made), " ".join(f"{i}:{j}:{k}" for i, j, k in made))
+        assert r.contaminated == (covered >= 0.6 * n)
 
 
 def test_planted_and_reordered_passages(spark):
@@ -71,20 +73,6 @@ def test_planted_and_reordered_passages(spark):
     assert [(r.doc_id, r.item_id) for r in decontamination.find_matches(short, b).collect()] == [(1, 8)]
 
 
-def test_query_against_containment(spark, data, documents):
-    """Every document that holds a whole item is found with full coverage."""
-    items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
-    got = {(r.doc_id, r.item_id): r for r in catalog.op9_decontamination(spark, data).collect()}
-    n = 0
-    for r in documents.collect():
-        for i, text in items.items():
-            if text in r.text:
-                n += 1
-                assert got[r.doc_id, i].contaminated and got[r.doc_id, i].coverage == 1.0
-    assert n > 0
-    assert sum(r.contaminated for r in got.values()) >= n
-
-
 def test_odd_rows(spark, odd, empty):
     b = spark.createDataFrame([(1, "words again and again in one short text"), (None, "été naïve"), (2, ""), (3, None)], "item_id long, text string")
     found = decontamination.find_matches(odd, b).collect()
