@@ -27,6 +27,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN)
 
 
+#: Limits of a sequence of conversations: tokens, conversations and loss-bearing tokens.
+CONVERSATION_LIMITS = {"max_tokens": 4096, "max_segments": 4, "max_loss": 3000}
+
+
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations in sequences under three limits at once; one that exceeds a limit by itself has no place."""
+    import public_tokenizers
+
+    examples = packing.conversation_examples(spread(table(spark, sf_dir, "conversations")), public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.PATTERN)
+    packed = packing.pack_examples(examples, **CONVERSATION_LIMITS)
+    return packed.withColumnRenamed("example_id", "conv_id")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(spread(table(spark, sf_dir, "documents")))
 
@@ -88,6 +101,6 @@ FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path"""
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_packing, op3_suffix_dedup, op4_quality_rules, op5_simhash, op6_html, op7_licenses, op8_urls, op9_decontamination, op10_classifier)
+    for f in (op1_pii, op2_packing, packing_conversations, op3_suffix_dedup, op4_quality_rules, op5_simhash, op6_html, op7_licenses, op8_urls, op9_decontamination, op10_classifier)
 }
 ORACLES = {"op8_urls": _op8_sql()}

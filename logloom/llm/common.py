@@ -31,13 +31,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL_BYTES else df
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set, else a new local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a new local one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="logloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="logloom-")
+    return _OWN[context.applicationId]
 
 
 def stored(df: DataFrame) -> DataFrame:

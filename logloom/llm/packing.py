@@ -172,7 +172,7 @@ def pack_documents(
 
     Null text counts as empty and so has the single token ``end_id``; a null doc_id stays null; repeated rows are packed each for
     itself; an empty table gives no rows; other columns are ignored. ranks_path is the vocabulary in ranks form, which gives the
-    same ids as its JSON form (a test compares them). The driver reads that file, which is small and does not grow with the data.
+    same ids as its JSON form (tests compare them); names of special tokens in a text are ordinary text. The driver reads that file, which is small and does not grow with the data.
     """
     with open(ranks_path, "rb") as f:
         lines = f.read()
@@ -224,7 +224,7 @@ def pack_examples(
 ) -> DataFrame:
     """Pack whole instruction examples (example_id, tokens, loss_tokens) under three limits at once, without cutting.
 
-    Returns example_id, sequence_id and offset. An example that exceeds a limit by itself, or has a null in tokens, gets a null
+    Returns example_id, tokens, loss_tokens, sequence_id and offset. An example that exceeds a limit by itself, or has a null in tokens, gets a null
     sequence_id and offset instead of a place; null loss_tokens count as zero.
     """
     limits = (max_tokens, max_segments, max_loss)
@@ -239,20 +239,20 @@ def pack_examples(
             nonlocal count
             for pieces in sequences:
                 at = 0
-                for (example, _), _, length in pieces:
-                    rows.append((example, base + count, at))
+                for (example, loss), _, length in pieces:
+                    rows.append((example, length, loss, base + count, at))
                     at += length
                 count += 1
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["example_id", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["example_id", "tokens", "loss_tokens", "sequence_id", "offset"])
 
         for batch in batches:
             for example, n, loss in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if n is None or n < 1 or n > max_tokens or (loss or 0) > max_loss:
-                    rows.append((example, None, None))
+                    rows.append((example, n, loss or 0, None, None))
                 else:
                     closed(packer.add((example, loss or 0), n))
             yield out()
@@ -260,4 +260,25 @@ def pack_examples(
         yield out()
 
     chosen = examples.select(*(F.col(c).cast("long") for c in ("example_id", "tokens", "loss_tokens")))
-    return chosen.mapInArrow(packed, "example_id long, sequence_id long, offset long")
+    return chosen.mapInArrow(packed, "example_id long, tokens long, loss_tokens long, sequence_id long, offset long")
+
+
+def conversation_examples(conversations: DataFrame, ranks_path: str, pattern: str, loss_role: str = "assistant") -> DataFrame:
+    """example_id, tokens and loss_tokens of each conversation of ``conversations`` (conv_id, role, text).
+
+    A turn has the tokens of its text and one that ends it; those of ``loss_role`` bear loss. Null text counts as empty, a null role
+    bears no loss, and rows with a null conv_id are one conversation. Turns are tokenized in a map; only their numbers are shuffled.
+    """
+    with open(ranks_path, "rb") as f:
+        lines = f.read()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(lines, pattern)
+        for batch in batches:
+            for part in common.parts(batch, column=2):
+                sizes = [len(encoder.encode_ordinary(x or "")) + 1 for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64())], ["conv_id", "role", "tokens"])
+
+    turns = conversations.select(F.col("conv_id").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(counted, "conv_id long, role string, tokens long")
+    loss = F.coalesce(F.sum(F.when(F.col("role") == loss_role, F.col("tokens"))), F.lit(0))
+    return turns.groupBy(F.col("conv_id").alias("example_id")).agg(F.sum("tokens").alias("tokens"), loss.alias("loss_tokens"))
