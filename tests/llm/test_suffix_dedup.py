@@ -33,9 +33,11 @@ def test_query(spark, data, documents):
     check(catalog.op3_suffix_dedup(spark, data).collect(), brute_force(sorted((r.doc_id, r.text) for r in documents.collect())))
 
 
+@pytest.mark.parametrize("hot", [2, suffix_dedup.HOT])
 @pytest.mark.parametrize("seed", range(3))
-def test_random_overlaps(spark, seed):
+def test_random_overlaps(spark, monkeypatch, seed, hot):
     """Texts put together from shared pieces around the threshold's length, with edits, periods and other scripts."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(seed)
     pieces = ["".join(rng.choice("abcd é") for _ in range(rng.randrange(60, 180))) for _ in range(12)] + ["ab" * 80, "x" * 130]
     rows = []
@@ -53,6 +55,7 @@ def test_random_overlaps(spark, seed):
     want = brute_force(rows)
     check(got, want)
     assert all(bytes(r.kept) == want[r.doc_id][3] for r in got)
+    check(suffix_dedup.every_position(spark.createDataFrame(shuffled, "doc_id long, text string").repartition(3)).collect(), want)
 
 
 def test_texts_longer_than_a_part(spark, monkeypatch):
@@ -63,10 +66,14 @@ def test_texts_longer_than_a_part(spark, monkeypatch):
     check(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect(), brute_force(rows))
 
 
-def test_common_passage_with_different_neighbours(spark):
+@pytest.mark.parametrize("hot", [2, suffix_dedup.HOT, 10**9])
+def test_common_passage_with_different_neighbours(spark, monkeypatch, hot):
+    """Hot strings of every length around the threshold; in some of the parts they are hot, in others they are not."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 5000)
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(140))
-    rows = [(i, "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(50, 90))) + passage[: rng.choice([90, 99, 100, 101, 140])] + "".join(rng.choice("qrst ") for _ in range(60))) for i in range(150)]
+    rows = [(i, "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(50, 90))) + passage[: rng.choice([40, 84, 90, 99, 100, 101, 140])] + "".join(rng.choice("qrst ") for _ in range(60))) for i in range(400)]
     check(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect(), brute_force(rows))
 
 
