@@ -1,7 +1,9 @@
 """The five relations as Parquet folders: log (by day), lt, ltg, tag and hg (by tier).
 
-Tables are rewritten into a new folder that then takes the old one's place, so no path is overwritten while it is read. All file work goes
-through Hadoop's file systems, so a store may lie anywhere that Spark can write.
+Tables are rewritten into a new folder that then takes the old one's place, so no path is overwritten while it is read. Lines and the
+templates that they change are written aside and then moved in as one batch. A writer may die at any time: what it had finished writing is
+moved in when the store is opened next, and what it had not is removed, so no line is lost, doubled or seen without its template. All
+file work goes through Hadoop's file systems, so a store may lie anywhere that Spark can write.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ class LogStore:
             raise ValueError(f"unknown mode {mode}")
         if mode == "reset":
             self.drop()
+        else:
+            self.recover()
         if mode == "read":
             if not self.exists("log") or not self.exists("lt"):
                 raise FileNotFoundError(f"no log store in {path}")
@@ -45,6 +49,20 @@ class LogStore:
         fs, p = self._fs(f"{self.path}/{table}")
         return fs.exists(p)
 
+    def _names(self, folder: str = "") -> list[str]:
+        fs, p = self._fs(f"{self.path}/{folder}")
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _move(self, source: str, target: str) -> None:
+        fs, old = self._fs(f"{self.path}/{source}")
+        _, new = self._fs(f"{self.path}/{target}")
+        if not fs.rename(old, new):
+            raise OSError(f"cannot move {source} to {target} in {self.path}")
+
+    def _delete(self, name: str) -> None:
+        fs, p = self._fs(f"{self.path}/{name}")
+        fs.delete(p, True)
+
     def ensure(self) -> list[str]:
         """Make missing tables, empty; returns their names."""
         made = [t for t in SCHEMAS if not self.exists(t)]
@@ -52,15 +70,30 @@ class LogStore:
             self.spark.createDataFrame([], SCHEMAS[t]).drop(*PARTITIONS.get(t, [])).write.parquet(f"{self.path}/{t}")
         return made
 
+    def recover(self) -> None:
+        """Finish what a writer had written when it died, and remove what it had not finished writing."""
+        for name in self._names():
+            if name.startswith("_batch_"):
+                if self.exists(f"{name}/_READY"):
+                    self._move_in(name)
+                else:
+                    self._delete(name)
+        for name in self._names():
+            kind, _, rest = name.removeprefix("_").partition("_")
+            if name.startswith("_") and kind in ("new", "old"):
+                table, _, mark = rest.partition("_")
+                if not self.exists(table):  # died between two moves
+                    self._move(f"_new_{table}_{mark}" if self.exists(f"_new_{table}_{mark}/_SUCCESS") else f"_old_{table}_{mark}", table)
+        for name in self._names():
+            if name.startswith(("_new_", "_old_")):
+                self._delete(name)
+
     def repair(self) -> list[str]:
-        """Remove left-over staging folders and add missing ltg, tag and hg; log and lt must be there."""
+        """Finish or remove what a writer left and add missing ltg, tag and hg; log and lt must be there."""
+        self.recover()
         for t in ("log", "lt"):
             if not self.exists(t):
                 raise FileNotFoundError(f"{self.path}/{t}")
-        fs, p = self._fs(self.path)
-        for status in fs.listStatus(p):
-            if status.getPath().getName().startswith("_"):
-                fs.delete(status.getPath(), True)
         return self.ensure()
 
     def drop(self) -> None:
@@ -85,20 +118,52 @@ class LogStore:
 
     def replace(self, name: str, df: DataFrame) -> None:
         """Write ``df`` beside the table, then swap the folders."""
-        staged = f"{self.path}/_{name}_{uuid.uuid4().hex}"
-        self._writer(name, df).parquet(staged)
-        fs, old = self._fs(f"{self.path}/{name}")
-        _, new = self._fs(staged)
-        fs.delete(old, True)
-        fs.rename(new, old)
+        mark = uuid.uuid4().hex
+        self._writer(name, df).parquet(f"{self.path}/_new_{name}_{mark}")
+        self._swap(name, f"_new_{name}_{mark}", mark)
+
+    def _swap(self, name: str, staged: str, mark: str) -> None:
+        """Put ``staged`` in the place of a table; may be done again from any point."""
+        new, old = f"_new_{name}_{mark}", f"_old_{name}_{mark}"
+        if staged != new and self.exists(staged):
+            self._move(staged, new)
+        if self.exists(new):
+            if self.exists(name):
+                self._move(name, old)
+            self._move(new, name)
+        self._delete(old)
+
+    def _move_in(self, batch: str) -> None:
+        """Move a batch that is written as a whole into the tables; may be done again from any point."""
+        for day in self._names(f"{batch}/log"):
+            if day.startswith("day="):
+                fs, p = self._fs(f"{self.path}/log/{day}")
+                fs.mkdirs(p)
+                for part in self._names(f"{batch}/log/{day}"):
+                    if part.endswith(".parquet"):
+                        self._move(f"{batch}/log/{day}/{part}", f"log/{day}/{part}")
+        self._swap("lt", f"{batch}/lt", batch.removeprefix("_batch_"))
+        if self.exists(f"{batch}/id"):
+            for name in self._names(f"{batch}/id"):
+                fs, p = self._fs(f"{self.path}/batches/{name}")
+                fs.mkdirs(p)
+        self._delete(batch)
 
     def reset_tier(self, tier: str, df: DataFrame) -> None:
         """Make one tier of hg anew and leave the others."""
         kept = self.table("hg").where(F.col("tier") != tier)
         self.replace("hg", kept.unionByName(df.select("host", "hgid", "tier")))
 
-    def add_lines(self, lines: DataFrame, key: str = "tpl", template: str = "tpl") -> None:
-        """Append mined lines (lid, dt, host, words, symbols, key, template): line ids follow the last one, known templates keep their ids."""
+    def has_batch(self, batch_id: int | str) -> bool:
+        return self.exists(f"batches/{batch_id}")
+
+    def add_lines(self, lines: DataFrame, key: str = "tpl", template: str = "tpl", batch_id: int | str | None = None) -> None:
+        """Append mined lines (lid, dt, host, words, symbols, key, template): line ids follow the last one, known templates keep their ids.
+
+        Lines and templates come in together or not at all. A batch that the store has already (``batch_id``) is left out.
+        """
+        if batch_id is not None and self.has_batch(batch_id):
+            return
         from .operators.ids import template_table
 
         old_log, old_lt = self.table("log"), self.table("lt")
@@ -113,8 +178,13 @@ class LogStore:
         counts = ids.groupBy("ltid").agg(F.sum("count").alias("more"))
         grown = old_lt.join(counts, "ltid", "left").withColumn("count", F.col("count") + F.coalesce("more", F.lit(0))).drop("more")
         new_lt = grown.unionByName(fresh.select(F.col("ltid").cast("long"), "ltw", "lts", "count"))
-        self.append("log", added.select("lid", "ltid", "dt", "host", "words"))
-        self.replace("lt", new_lt)
+        batch = f"_batch_{uuid.uuid4().hex}"
+        self._writer("log", added.select("lid", "ltid", "dt", "host", "words")).parquet(f"{self.path}/{batch}/log")
+        self._writer("lt", new_lt).parquet(f"{self.path}/{batch}/lt")
+        for made in ([f"{batch}/id/{batch_id}"] if batch_id is not None else []) + [f"{batch}/_READY"]:
+            fs, p = self._fs(f"{self.path}/{made}")
+            fs.mkdirs(p)
+        self._move_in(batch)
 
     def export_days(self, path: str) -> None:
         """Restored lines as text, a folder per day, in the order of line ids within a day."""

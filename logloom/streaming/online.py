@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions.variables import DIGITS, VariableRules
 from ..operators.cluster import Drain, drain_leaf
 from ..sources.formats import LogFormat
-from ..sources.parse import parse_lines
+from ..sources.parse import number_lines, parse_lines
 from ..store import LogStore
 
 
@@ -58,20 +58,16 @@ def counts_by_window(lines: DataFrame, window: str = "1 hour", late: str = "10 m
 def ingest(lines: DataFrame, store: LogStore, generator, checkpoint: str, available_now: bool = True):
     """Append every micro-batch to ``store`` with templates of ``generator`` (lines -> lines with tpl); ids follow the store's.
 
-    A batch that is run again after a failure is left out if the store has it already: the batch id is kept beside the tables.
+    A batch that is run again after a failure is left out if the store has it already: its id comes in with its lines and templates. Line
+    ids follow the order of files and of the lines in them.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.sql import Window
-
-        mark = f"{store.path}/batches/{batch_id}"
-        fs, p = store._fs(mark)
-        if batch.isEmpty() or fs.exists(p):
+        store.recover()
+        if batch.isEmpty() or store.has_batch(batch_id):
             return
-        order = Window.orderBy("file", "block", "seq")
-        numbered = batch.withColumn("seq", F.monotonically_increasing_id()).withColumn("lid", F.row_number().over(order).cast("long"))  # a micro-batch is of bounded size
-        store.add_lines(generator(numbered).select("lid", "dt", "host", "words", "symbols", "tpl"))
-        fs.mkdirs(p)
+        numbered = number_lines(batch.withColumn("seq", F.monotonically_increasing_id()), F.struct("file", "block"), F.col("seq"))
+        store.add_lines(generator(numbered).select("lid", "dt", "host", "words", "symbols", "tpl"), batch_id=batch_id)
 
     writer = lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
