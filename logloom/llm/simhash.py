@@ -493,9 +493,10 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, si
     """
     pairs = common.stored(pairs)
     sets = nodes.select(F.col("rep").alias("doc_id"), "__ll_set")
-    heads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).alias("places"))
+    heads = common.stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).alias("places")))
+    known = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads  # an a may have very many pairs
     firsts = heads.select(F.col("a").alias("doc_id"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(1), "places")).alias("place"))
-    others = pairs.join(heads, "a").select(F.col("b").alias("doc_id"), "a", "b", (F.pmod(F.xxhash64("b"), "places") + 1).alias("place"))
+    others = pairs.join(known, "a").select(F.col("b").alias("doc_id"), "a", "b", (F.pmod(F.xxhash64("b"), "places") + 1).alias("place"))
     needs = common.stored(firsts.unionByName(others).join(sets, "doc_id"))
     texts = with_ids(docs, needs).select("doc_id", "text", "a", "b", "place", "__ll_set")
 
