@@ -40,7 +40,14 @@ class Context:
     def mined(self) -> DataFrame:
         """Lines by the first method that gives a template."""
         lines, _ = self.read()
+        return self.mine(lines)
+
+    def mine(self, lines: DataFrame) -> DataFrame:
         names = config.get_list(self.conf, "generate", "methods")
+        if self.conf.getboolean("generate", "feedback"):
+            if len(names) != 2 or names[0] != "import":
+                raise ValueError("feedback needs the methods import and one other")
+            return methods.feedback(self.spark, self.conf, names[1])(lines).select("lid", "dt", "host", "words", "symbols", "key", "tpl")
         left, out = lines, None
         for name in names:
             made = methods.generator(self.spark, self.conf, name)(left).select("lid", "dt", "host", "words", "symbols", "key", "tpl")
@@ -133,8 +140,41 @@ def show_tag(c: Context) -> None:
     show(stats.tag_summary(s.table("lt"), s.table("tag")).orderBy("tag"), c.args.number)
 
 
+def show_tags(c: Context) -> None:
+    show(c.store().table("tag").orderBy("ltid", "tag"), c.args.number)
+
+
 def show_lt_import(c: Context) -> None:
-    c.store().export_templates(c.args.output)
+    """Templates as importable definitions; external ones are without escapes and have placeholders, and the symbols of their first line."""
+    if not c.args.external:
+        c.store().export_templates(c.args.output)
+        return
+    mark = c.conf.get("import-ext", "placeholder")
+    words = F.transform("ltw", lambda w: F.when(w == T.WILDCARD, mark).otherwise(T.unescape(w)))
+    text = T.restore_message(words, F.col("lts"), keep_escapes=True)
+    spaced = F.when(F.col("lts").isNull(), F.array_join(words, " ")).otherwise(text)
+    c.store().table("lt").orderBy("ltid").select(spaced.alias("value")).coalesce(1).write.mode("overwrite").text(c.args.output)
+
+
+def show_line(c: Context) -> None:
+    """One line with its template, by its number."""
+    s = c.store()
+    show(search.messages(search.with_templates(search.line(s.table("log"), c.args.lid), s.table("lt"))).select("lid", "ltid", "line"))
+
+
+def conf_shadow(c: Context) -> None:
+    """A configuration that imports the given one, to be changed."""
+    import os
+
+    with open(c.args.output, "w") as f:
+        f.write(f"[general]\nimport = {os.path.relpath(c.args.config, os.path.dirname(c.args.output) or '.')}\n")
+
+
+def conf_group_edit(c: Context) -> None:
+    """Set one option in every configuration file of a group: GROUP-FILE GROUP SECTION OPTION VALUE."""
+    path, group, section, option, value = c.args.files
+    for name in config.load_groups(path)[group]:
+        config.set_option(name, section, option, value)
 
 
 def show_host(c: Context) -> None:
@@ -242,6 +282,93 @@ def accuracy(c: Context) -> None:
         show(evaluate.samples_of_divided(labels, 1, aggregated=True), c.args.number)
 
 
+def measured(c: Context) -> tuple[DataFrame, DataFrame]:
+    from .operators.generate import match_definitions
+
+    lines, _ = c.read()
+    definitions = parse.read_definitions(c.spark, c.args.answer or c.conf.get("eval", "answer"))
+    return lines, match_definitions(lines, definitions).select("lid", F.col("defid").alias("tid"), "tpl")
+
+
+def measure_accuracy(mode: str):
+    """Labels of the answer and of each trial, kept in a folder; online trials go on from the training lines before them."""
+
+    def run(c: Context) -> None:
+        c.conf.set("generate", "mode", mode)
+        lines, answer = measured(c)
+        answer.write.mode("overwrite").parquet(f"{c.args.output}/answer")
+        for k in range(c.conf.getint("eval", "trials") if c.args.number == 1000 else c.args.number):
+            c.mine(lines).select("lid", F.col("key").alias("tid"), "tpl").write.mode("overwrite").parquet(f"{c.args.output}/trials/trial={k}")
+
+    return run
+
+
+def show_measured(c: Context) -> None:
+    """The scores of every kept trial, and their means."""
+    answer = c.spark.read.parquet(f"{c.args.output}/answer")
+    trials = c.spark.read.parquet(f"{c.args.output}/trials")
+    show(evaluate.trial_scores(answer, trials).orderBy("trial"), c.args.number)
+
+
+def measure_parameter(c: Context) -> None:
+    """Scores of the first method for every entry of its parameter grid."""
+    from .operators.cluster import GRIDS
+
+    lines, answer = measured(c)
+    name = config.get_list(c.conf, "generate", "methods")[0]
+    for entry in GRIDS[name]:
+        for k, v in entry.items():
+            c.conf.set(name, k, str(v))
+        trial = c.mine(lines).select("lid", F.col("key").alias("tid"), "tpl")
+        row = evaluate.structure_scores(evaluate.pair_labels(answer, trial)).first()
+        print(*(f"{k}={v}" for k, v in entry.items()), *(f"{k}={row[k]:.6f}" for k in ("word_accuracy", "line_accuracy")))
+
+
+def measure_time(mode: str):
+    """Seconds that each of some runs over all lines takes, and their mean."""
+
+    def run(c: Context) -> None:
+        import time
+
+        c.conf.set("generate", "mode", mode)
+        lines, _ = c.read()
+        took = []
+        for _ in range(c.conf.getint("eval", "trials_time") if c.args.number == 1000 else c.args.number):
+            began = time.perf_counter()
+            c.mine(lines).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        print(*(f"{x:.3f}" for x in took), f"mean {sum(took) / len(took):.3f}")
+
+    return run
+
+
+def search_diff(c: Context) -> None:
+    """Lines whose templates two configurations give differently, of those that the first one gives right."""
+    lines, answer = measured(c)
+    one = evaluate.pair_labels(answer, c.mine(lines).select("lid", F.col("key").alias("tid"), "tpl"))
+    c.conf = config.open_config(c.args.other_config)
+    two = evaluate.pair_labels(answer, c.mine(lines).select("lid", F.col("key").alias("tid"), "tpl"))
+    show(evaluate.differing_lines(one, two), c.args.number)
+
+
+def search_fail(c: Context) -> None:
+    lines, answer = measured(c)
+    labels = evaluate.pair_labels(answer, c.mine(lines).select("lid", F.col("key").alias("tid"), "tpl"))
+    show(evaluate.first_failures(labels), c.args.number)
+
+
+def make_crf_model(c: Context) -> None:
+    """A tagger from the store's lines, or from a training file, as one file."""
+    if c.conf.get("crf", "train"):
+        model = methods.crf_model(c.spark, c.conf)
+    else:
+        s = c.store()
+        lines = search.with_templates(s.table("log"), s.table("lt")).withColumn("tpl", F.col("ltw"))
+        model = crf.train(lines, c.conf.getint("crf", "n_sample"), c.conf.get("crf", "sample"), c.conf.getint("crf", "rounds"))
+    with open(c.args.output, "w") as f:
+        f.write(model.saved())
+
+
 def make_crf_train(c: Context) -> None:
     s = c.store()
     lines = search.with_templates(s.table("log"), s.table("lt")).withColumn("tpl", F.col("ltw"))
@@ -252,9 +379,9 @@ def make_crf_train(c: Context) -> None:
 COMMANDS = {
     "data-parse": data_parse, "data-from-db": data_from_db, "data-from-data": data_from_data,
     "db-make": db_make, "db-add": db_add, "db-remake-group": db_remake_group, "db-tag": db_tag, "db-repair": db_repair, "db-anonymize": db_anonymize, "clean": clean,
-    "show-db-info": show_db_info, "show-lt": show_lt, "show-ltg": show_ltg, "show-tag": show_tag, "show-tag-stats": show_tag, "show-lt-import": show_lt_import, "dump-lt": show_lt_import,
+    "show-db-info": show_db_info, "show-lt": show_lt, "show-ltg": show_ltg, "show-tag": show_tags, "show-tag-stats": show_tag, "show-lt-import": show_lt_import, "dump-lt": show_lt_import,
     "show-host": show_host, "host-group-update": host_group_update, "show-host-group": show_host_group, "host-group-check": host_group_check,
-    "show-log": show_log, "show-line": show_log, "show-algorithms": show_algorithms, "conf-defaults": conf_defaults, "conf-diff": conf_diff, "conf-minimum": conf_minimum,
+    "show-log": show_log, "show-line": show_line, "conf-shadow": conf_shadow, "conf-group-edit": conf_group_edit, "show-algorithms": show_algorithms, "conf-defaults": conf_defaults, "conf-diff": conf_diff, "conf-minimum": conf_minimum,
     "show-lt-words": words_of("all"), "show-lt-description": words_of("description"), "show-lt-variable": words_of("variable"),
     "show-lt-breakdown": show_breakdown, "show-lt-vstable": show_stable, "show-lt-positions": show_positions,
     "lt-merge": edited(lambda log, lt, a: edit.merge(log, lt, a.ltid, a.other)),
@@ -263,7 +390,9 @@ COMMANDS = {
     "lt-fix": edited(lambda log, lt, a: edit.fix(log, lt, a.ltid, a.vid)),
     "lt-free": edited(lambda log, lt, a: edit.free(log, lt, a.ltid, a.wid)),
     "lt-merge-dup": edited(lambda log, lt, a: edit.merge_duplicates(log, lt)),
-    "show-accuracy": accuracy, "make-crf-train": make_crf_train,
+    "show-accuracy": accuracy, "make-crf-train": make_crf_train, "make-crf-model": make_crf_model,
+    "measure-accuracy-offline": measure_accuracy("offline"), "measure-accuracy-online": measure_accuracy("online"), "show-measured": show_measured, "measure-parameter": measure_parameter,
+    "measure-time-offline": measure_time("offline"), "measure-time-online": measure_time("online"), "search-diff": search_diff, "search-fail": search_fail,
 }
 
 
@@ -278,6 +407,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--output", default="logloom-out")
     p.add_argument("-d", "--digits", action="store_true", help="fold digits")
     p.add_argument("-f", "--force", action="store_true")
+    p.add_argument("-e", "--external", action="store_true", help="templates as other tools write them")
+    p.add_argument("--other-config", help="the configuration to compare with")
+    p.add_argument("--lid", type=int)
     p.add_argument("--ltid", type=int)
     p.add_argument("--other", type=int)
     p.add_argument("--vid", type=int, nargs="*", default=[])

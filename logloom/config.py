@@ -12,13 +12,16 @@ DEFAULTS = {
     "general": {"src_path": "", "src_recur": "false", "format": "syslog", "year": "", "import": ""},
     "store": {"path": "logloom-store"},
     "parse": {"undefined_host": "false", "dummy_host": "dummy", "host_alias": ""},
-    "generate": {"methods": "drain", "batch": "100000"},
+    "generate": {"methods": "drain", "batch": "100000", "mode": "offline", "feedback": "false"},
     "drain": {"threshold": "0.3", "depth": "3", "rules": ""},
     "lenma": {"threshold": "0.9", "n_same": "3", "head_rule": "true"},
     "shiso": {"threshold": "0.9", "max_child": "4"},
     "fttree": {"max_child": "6", "cut_depth": "3", "message_type": "none"},
     "va": {"method": "relative-variable", "threshold": "0.4"},
-    "import": {"definitions": "", "search": "tree"},
+    "import": {"definitions": "", "search": "tree", "shuffle": "false"},
+    "import-ext": {"templates": "", "placeholder": "<*>", "mode": "plain"},
+    "crf": {"model": "", "train": "", "features": "", "sample": "random", "n_sample": "1000", "rounds": "10"},
+    "eval": {"answer": "", "trials": "10", "trials_time": "5"},
     "re": {"rules": ""},
     "group": {"method": "none"},
     "tag": {"rules": "", "mode": "group"},
@@ -78,6 +81,18 @@ def minimum(conf: configparser.ConfigParser) -> configparser.ConfigParser:
     return out
 
 
+def set_option(path: str, section: str, option: str, value: str) -> None:
+    """Set one option in a file, which keeps everything else but its comments."""
+    own = configparser.ConfigParser(interpolation=None)
+    if not own.read(path):
+        raise FileNotFoundError(path)
+    if not own.has_section(section):
+        own.add_section(section)
+    own.set(section, option, value)
+    with open(path, "w") as f:
+        own.write(f)
+
+
 def get_list(conf: configparser.ConfigParser, section: str, name: str) -> list[str]:
     return [x.strip() for x in conf.get(section, name).split(",") if x.strip()]
 

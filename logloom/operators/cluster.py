@@ -7,6 +7,7 @@ one group, not its lines. Results do not depend on how the input is partitioned.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 
@@ -25,12 +26,21 @@ def merged(a: list[str], b: list[str]) -> list[str]:
     return [x if x == y else WILD for x, y in zip(a, b, strict=True)]
 
 
-def ordered(lines: DataFrame, group: Column, miner: Callable[[], object], partitions: int | None = None, state: DataFrame | None = None) -> DataFrame:
+def ordered(
+    lines: DataFrame,
+    group: Column,
+    miner: Callable[[], object],
+    partitions: int | None = None,
+    state: DataFrame | None = None,
+    states: DataFrame | None = None,
+    keep: bool = False,
+) -> DataFrame:
     """lid, cid (a text: group and cluster number) and tpl (the cluster's template after the line) by streaming ordered groups.
 
     lines: lid and words, and counts if the miner wants them. miner() makes the state of a group; its add(words, counts) returns the
     cluster's number and its template. state: the clusters of an earlier run (``cluster_state``), which the miner takes up by
-    resume(first, tpl) before the group's first line.
+    resume(first, tpl) before the group's first line. states: whole states of an earlier run (g, state), which it takes up by
+    load(text). keep: one row more for each group, of which cid is the group, tpl the one text of its dump() and lid is null.
     """
     none = F.lit(None).cast("array<string>").alias("tpl")
     extra = [F.col("counts")] if "counts" in lines.columns else [F.lit(None).cast("array<long>").alias("counts")]
@@ -39,27 +49,58 @@ def ordered(lines: DataFrame, group: Column, miner: Callable[[], object], partit
         at = F.substring_index("cid", "/", -1).cast("long")
         old = state.select(F.regexp_replace("cid", "/[0-9]+$", "").alias("g"), (F.lit(-(1 << 62)) + at).alias("lid"), F.col("first").alias("words"), F.lit(None).cast("array<long>").alias("counts"), "tpl")
         keyed = keyed.unionByName(old)
+    if states is not None:
+        whole = states.select("g", F.lit(-(1 << 63)).alias("lid"), F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<long>").alias("counts"), F.array("state").alias("tpl"))
+        keyed = keyed.unionByName(whole)
     dealt = keyed.repartition(partitions, "g") if partitions else keyed.repartition("g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, own = object(), None
         for batch in batches:
             lids, cids, tpls = [], [], []
+
+            def kept() -> None:
+                lids.append(None)
+                cids.append(current)
+                tpls.append([own.dump()])
+
             for g, lid, words, counts, old in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if g != current:
+                    if keep and own is not None:
+                        kept()
                     current, own = g, miner()
                 if old is not None:
-                    own.resume(words, old)
+                    own.load(old[0]) if words is None else own.resume(words, old)
                     continue
                 cid, tpl = own.add(words, counts)
                 lids.append(lid)
                 cids.append(f"{g}/{cid}")
                 tpls.append(tpl)
             yield pa.RecordBatch.from_arrays([pa.array(lids, pa.int64()), pa.array(cids, pa.string()), pa.array(tpls, pa.list_(pa.string()))], ["lid", "cid", "tpl"])
+        if keep and own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([current], pa.string()), pa.array([[own.dump()]], pa.list_(pa.string()))], ["lid", "cid", "tpl"])
 
     return dealt.sortWithinPartitions("g", "lid").mapInArrow(run, "lid long, cid string, tpl array<string>")
 
 
+def states_of(kept: DataFrame) -> DataFrame:
+    """(g, state) out of a run with ``keep``: what ``states`` takes to go on with more lines."""
+    return kept.where("lid is null").select(F.col("cid").alias("g"), F.col("tpl")[0].alias("state"))
+
+
+class Saved:
+    """A miner whose whole state is a few plain attributes, named in SAVED."""
+
+    SAVED: tuple[str, ...] = ()
+
+    def dump(self) -> str:
+        return json.dumps([getattr(self, x) for x in self.SAVED])
+
+    def load(self, text: str) -> None:
+        for name, value in zip(self.SAVED, json.loads(text), strict=True):
+            setattr(self, name, value)
+
+
 def cluster_state(lines: DataFrame, mined: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """cid, first (its first line's words) and tpl of every cluster after a run: what ``state`` takes to go on with more lines."""
     made = lines.select("lid", "words").join(mined, "lid").groupBy("cid").agg(F.min_by("words", "lid").alias("first"), F.max_by("tpl", "lid").alias("tpl"))
@@ -69,9 +110,11 @@ def cluster_state(lines: DataFrame, mined: DataFrame, before: DataFrame | None =
     return made.join(old, "cid", "full").select("cid", F.coalesce("f", "first").alias("first"), F.coalesce("tpl", "t").alias("tpl"))
 
 
-class Drain:
+class Drain(Saved):
     """The clusters of one leaf: the most similar one takes a line if it is similar enough; ties go to the older."""
 
+    SAVED = ("templates",)
+
     def __init__(self, threshold: float = 0.3):
         self.threshold, self.templates = threshold, []
 
@@ -104,12 +147,14 @@ def drain(lines: DataFrame, threshold: float = 0.3, depth: int = 3, rules: Varia
     return ordered(masked, drain_leaf(F.col("words"), depth), lambda: Drain(threshold), state=state)
 
 
-class Lenma:
+class Lenma(Saved):
     """Clusters of lines with one number of words, by the cosine of their words' lengths with the cluster's first line.
 
     evolve: score against the template and the last line instead.
     """
 
+    SAVED = ("first", "lengths", "templates")
+
     def __init__(self, threshold: float = 0.9, n_same: int = 3, head_rule: bool = True, evolve: bool = False):
         self.threshold, self.n_same, self.head_rule, self.evolve = threshold, n_same, head_rule, evolve
         self.first: list[list[str]] = []
@@ -188,15 +233,25 @@ def edit_distance(a: list[str], b: list[str]) -> int:
     return previous[-1]
 
 
-class Shiso:
+class Shiso(Saved):
     """A search tree of bounded width: a line joins the first similar child, becomes a new child, or goes on below the nearest one."""
 
+    SAVED = ("templates", "links")
+
     def __init__(self, threshold: float = 0.9, max_child: int = 4, vector: Callable[[str], dict] = letters):
         self.threshold, self.max_child, self.vector = threshold, max_child, vector
         self.templates: list[list[str]] = []
         self.children: dict[int, list[int]] = {-1: []}
         self.known: dict[str, dict] = {}
 
+    @property
+    def links(self) -> list[tuple[int, list[int]]]:
+        return list(self.children.items())
+
+    @links.setter
+    def links(self, given: list) -> None:
+        self.children = {k: v for k, v in given}
+
     def _vector(self, word: str) -> dict:
         if word not in self.known:
             if len(self.known) > 100_000:
@@ -232,18 +287,28 @@ class Shiso:
             parent = min(self.children[parent], key=lambda c: edit_distance(self.templates[c], words))
 
 
-def shiso(lines: DataFrame, threshold: float = 0.9, max_child: int = 4, vector: Callable[[str], dict] = letters) -> DataFrame:
+def shiso(lines: DataFrame, threshold: float = 0.9, max_child: int = 4, vector: Callable[[str], dict] = letters, states: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """One tree for all lines, hence one task, which streams them in order: the method has no independent parts."""
-    return ordered(lines.select("lid", "words"), F.lit("all"), lambda: Shiso(threshold, max_child, vector), 1)
+    return ordered(lines.select("lid", "words"), F.lit("all"), lambda: Shiso(threshold, max_child, vector), 1, states=states, keep=keep)
 
 
-class FrequentTree:
+class FrequentTree(Saved):
     """Words by descending frequency grow a tree; nodes that get too many children are cut and stop later lines."""
 
+    SAVED = ("tree", "templates")
+
     def __init__(self, max_child: int = 6, cut_depth: int = 3):
         self.max_child, self.cut_depth, self.tree = max_child, cut_depth, {}
         self.known: dict[tuple, int] = {}
 
+    @property
+    def templates(self) -> list[tuple]:
+        return list(self.known)
+
+    @templates.setter
+    def templates(self, given: list[list[str]]) -> None:
+        self.known = {tuple(x): i for i, x in enumerate(given)}
+
     def add(self, words: list[str], counts: list[int]) -> tuple[int, list[str]]:
         node, depth, kept = self.tree, 0, set()
         for _, w in sorted(zip(counts, words, strict=True), reverse=True):
@@ -261,15 +326,136 @@ class FrequentTree:
         return self.known.setdefault(tuple(tpl), len(self.known)), tpl
 
 
-def frequent_tree(lines: DataFrame, max_child: int = 6, cut_depth: int = 3, message_type: str = "none") -> DataFrame:
-    """Offline frequent-word tree: counts over all lines first, then one tree per message type (none, top or length)."""
-    places = lines.select("lid", F.posexplode("words").alias("p", "w"))
-    counts = places.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counted = places.join(counts, "w").groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("p", "w", "n"))).alias("a"))
-    made = counted.select("lid", F.transform("a", lambda x: x["w"]).alias("words"), F.transform("a", lambda x: x["n"]).alias("counts"))
-    kinds = {"none": F.lit("all"), "top": F.element_at("words", 1), "length": F.size("words").cast("string")}
-    mined = ordered(made, kinds[message_type], lambda: FrequentTree(max_child, cut_depth), 1 if message_type == "none" else None)
-    return mined
+class CountingTree(FrequentTree):
+    """A frequent-word tree that counts the words itself, each line's own included: the online form, for streams."""
+
+    SAVED = ("tree", "templates", "counts")
+
+    def __init__(self, max_child: int = 6, cut_depth: int = 3):
+        super().__init__(max_child, cut_depth)
+        self.counts: dict[str, int] = {}
+
+    def add(self, words: list[str], counts=None) -> tuple[int, list[str]]:
+        for w in words:
+            self.counts[w] = self.counts.get(w, 0) + 1
+        return super().add(words, [self.counts[w] for w in words])
+
+
+def tree_of(kind: str) -> Column:
+    """The key of a frequent-word tree: none (one tree), top (the first word) or length."""
+    return {"none": F.lit("all"), "top": F.element_at("words", 1), "length": F.size("words").cast("string")}[kind]
+
+
+def frequent_tree(lines: DataFrame, max_child: int = 6, cut_depth: int = 3, message_type: str = "none", online: bool = False) -> DataFrame:
+    """Frequent-word trees, one per message type (none, top or length); with type none there is one tree, hence one task.
+
+    Offline the words are counted over all lines first; online a line's words count as often as they came up to that line.
+    """
+    if online:
+        made = running_counts(lines)
+    else:
+        places = lines.select("lid", F.posexplode("words").alias("p", "w"))
+        counts = places.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+        counted = places.join(counts, "w").groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("p", "w", "n"))).alias("a"))
+        made = counted.select("lid", F.transform("a", lambda x: x["w"]).alias("words"), F.transform("a", lambda x: x["n"]).alias("counts"))
+    return ordered(made, tree_of(message_type), lambda: FrequentTree(max_child, cut_depth), 1 if message_type == "none" else None)
+
+
+#: Lines that are counted in one piece by ``running_counts``.
+COUNT_BLOCK = 4096
+
+
+def running_counts(lines: DataFrame, block: int | None = None) -> DataFrame:
+    """lid, words and counts: how often each word came in all lines up to and including this one.
+
+    Words are counted within blocks of line ids, and what earlier blocks had comes from a running sum with one row per word and block,
+    so a word that is everywhere is dealt over as many keys as there are blocks.
+    """
+    numbered = lines.select("lid", "words", F.floor(F.col("lid") / (block or COUNT_BLOCK)).alias("block"))
+    places = numbered.select("lid", "block", F.posexplode("words").alias("p", "w"))
+    within = F.count(F.lit(1)).over(Window.partitionBy("block", "w").orderBy("lid").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = places.groupBy("block", "w").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("w").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("block", "w", before.alias("before"))
+    counted = places.withColumn("within", within).join(offsets, ["block", "w"]).select("lid", F.struct("p", (F.col("within") + F.col("before")).alias("n")).alias("x"))
+    rebuilt = counted.groupBy("lid").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["n"]).alias("counts"))  # a line's words
+    return lines.join(rebuilt, "lid").select("lid", "words", "counts")
+
+
+class Joint(Saved):
+    """Definitions first, then another miner whose templates become definitions: for lines of one number of words, each of them given
+    twice, as it is and as the miner is to see it.
+
+    A new template of the miner is a new definition, and one that it changes is changed there too, so later lines may match it without
+    reaching the miner. search: tree (literals before wildcards, from left to right) or table (the first).
+    """
+
+    SAVED = ("definitions", "leaves")
+
+    def __init__(self, definitions: list[tuple[int, list[str]]], make: Callable[[], object], leaf: Callable[[list[str]], str], search: str = "tree"):
+        self.definitions = [(f"d{k}", list(t)) for k, t in definitions]
+        self.make, self.leaf, self.search = make, leaf, search
+        self.miners: dict[str, object] = {}
+
+    @property
+    def leaves(self) -> list[tuple[str, str]]:
+        return [(k, m.dump()) for k, m in self.miners.items()]
+
+    @leaves.setter
+    def leaves(self, given: list) -> None:
+        self.miners = {}
+        for k, text in given:
+            self.miners[k] = self.make()
+            self.miners[k].load(text)
+
+    def matched(self, words: list[str]) -> tuple[str, list[str]] | None:
+        fits = [d for d in self.definitions if len(d[1]) == len(words) and all(t in (WILD, w) for t, w in zip(d[1], words, strict=True))]
+        if not fits or self.search == "table":
+            return fits[0] if fits else None
+        return max(fits, key=lambda d: [t != WILD for t in d[1]])
+
+    def add(self, words: list[str], counts=None) -> tuple[str, list[str]]:
+        words, masked = words[: len(words) // 2], words[len(words) // 2 :]
+        found = self.matched(words)
+        if found is not None:
+            return found[0], list(found[1])
+        leaf = self.leaf(masked)
+        miner = self.miners.setdefault(leaf, self.make())
+        number, tpl = miner.add(masked, counts)
+        cid = f"m{leaf}/{number}"
+        for d in self.definitions:
+            if d[0] == cid:
+                d[1][:] = tpl
+                break
+        else:
+            self.definitions.append((cid, list(tpl)))
+        return cid, tpl
+
+
+def joint(
+    lines: DataFrame,
+    definitions: list[tuple[int, list[str]]],
+    make: Callable[[], object],
+    leaf: Callable[[list[str]], str] = lambda words: "",
+    search: str = "tree",
+    rules: VariableRules | None = None,
+    states: DataFrame | None = None,
+    keep: bool = False,
+) -> DataFrame:
+    """lid, cid and tpl by definitions (defid, tpl) with feedback from a miner of lines of one length: ``Drain`` by leaf, with the words
+    that ``rules`` hit as wildcards, or ``Lenma``.
+
+    Only lines and templates with equally many words ever meet, so lengths run beside each other. The definitions are the site's own
+    file, which the driver holds.
+    """
+    given = list(definitions)
+    twice = F.concat("words", rules.template(F.col("words")) if rules else F.col("words"))
+    return ordered(lines.select("lid", twice.alias("words")), F.size("words"), lambda: Joint(given, make, leaf, search), states=states, keep=keep)
+
+
+def leaf_of(depth: int = 3) -> Callable[[list[str]], str]:
+    """What ``drain_leaf`` tells apart among lines of one length."""
+    return lambda words: json.dumps([w for w in words if w != WILD][: max(0, depth - 2)])
 
 
 def merged_prefixes(lines: DataFrame, rules: VariableRules = DIGITS) -> DataFrame:
@@ -284,7 +470,9 @@ def merged_prefixes(lines: DataFrame, rules: VariableRules = DIGITS) -> DataFram
     primary = lines.select("lid", rules.template(F.col("words")).alias("ptpl"))
     distinct = primary.groupBy("ptpl").agg(F.count(F.lit(1)).alias("c"), F.min("lid").alias("pid"))
     literals = distinct.withColumn("lits", T.description(F.col("ptpl")))
-    named = literals.select("pid", "c", "lits").mapInArrow(_prefixes, "pid long, c long, n int, d int, u binary")
+    # Where messages are sorted, a neighbour shares the longest prefix; what is longer is one message's own and is not named at all.
+    dealt = literals.select("pid", "c", "lits").repartitionByRange("lits").sortWithinPartitions("lits")
+    named = dealt.mapInArrow(_prefixes, "pid long, c long, n int, d int, u binary")
     # A prefix of one message decides nothing, and most are such: they go first.
     node_counts = named.groupBy("u").agg(F.sum("c").alias("total"), F.min("n").alias("least")).where("total > 1")
     shared = named.select("pid", "u", "d").join(node_counts, "u")
@@ -301,27 +489,50 @@ def merged_prefixes(lines: DataFrame, rules: VariableRules = DIGITS) -> DataFram
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each prefix of a message's literals: pid, c, their number n, the prefix's last place d and its name u, 128 bits chained word by word."""
-    for batch in batches:
-        pids, counts, sizes, depths, names = [], [], [], [], []
+    """For each prefix of a message's literals that others may share: pid, c, their number n, the prefix's last place d and its name u,
+    128 bits chained word by word. Messages come sorted; those at the ends of a partition name all of their prefixes. A message that
+    stands for several lines names all as well.
+    """
 
-        def made() -> pa.RecordBatch:
-            columns = [pa.array(pids, pa.int64()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(depths, pa.int32()), pa.array(names, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["pid", "c", "n", "d", "u"])
+    def shared(a: list[str], b: list[str]) -> int:
+        k = 0
+        for x, y in zip(a, b, strict=False):
+            if x != y:
+                break
+            k += 1
+        return k
 
-        for pid, c, lits in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            name, n = b"", len(lits)
-            for w in lits:
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        pids, counts, sizes, depths, names = [], [], [], [], []
+        for pid, c, lits, n in rows:
+            name = b""
+            for w in lits[:n]:
                 name = xxhash.xxh3_128_digest(name + w.encode())
                 names.append(name)
             pids += [pid] * n
             counts += [c] * n
-            sizes += [n] * n
+            sizes += [len(lits)] * n
             depths += range(n)
-            if len(names) > 100_000:
-                yield made()
-                pids, counts, sizes, depths, names = [], [], [], [], []
-        yield made()
+        columns = [pa.array(pids, pa.int64()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(depths, pa.int32()), pa.array(names, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["pid", "c", "n", "d", "u"])
+
+    before: tuple | None = None
+    shared_before: int | None = None  # None: unknown, so all
+    for batch in batches:
+        rows: list[tuple] = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if before is not None:
+                k = shared(before[2], row[2])
+                whole = shared_before is None or before[1] > 1
+                rows.append((*before, len(before[2]) if whole else max(shared_before, k)))
+                shared_before = k
+            before = row
+            if len(rows) > 1000:
+                yield made(rows)
+                rows = []
+        yield made(rows)
+    if before is not None:
+        yield made([(*before, len(before[2]))])
 
 
 def _kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

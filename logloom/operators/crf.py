@@ -1,16 +1,20 @@
-"""Supervised tagging of words as description or variable: an averaged perceptron over a linear chain, decoded by Viterbi.
+"""Supervised tagging of words as description or variable: a linear-chain conditional random field, decoded by Viterbi.
 
-Training runs on the driver over a bounded sample of labelled lines; tagging is a map over the lines.
+Training runs on the driver over a bounded sample of labelled lines, by the gradient of the penalised likelihood (forward and backward
+sums); tagging is a map over the lines.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import random
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WILDCARD
@@ -80,48 +84,104 @@ class Chain:
             out.append(y)
         return out[::-1]
 
-    def fit(self, data: list[tuple[list[str], list[str], list[str]]], rounds: int = 5, seed: int = 1) -> Chain:
-        """data: words, middles, labels of each line."""
-        total: dict = defaultdict(float)
-        rng, steps = random.Random(seed), 0
-        for _ in range(rounds):
-            rng.shuffle(data)
-            for words, middles, labels in data:
-                steps += 1
-                guess = self.decode(words, middles)
-                if guess == labels:
-                    continue
+    def scores(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of each label at each word, and of each label after each other one."""
+        get = self.weights.get
+        own = np.array([[sum(get((f, y), 0.0) for f in fs) for y in LABELS] for fs in found])
+        return own, np.array([[get((f"t={x}", y), 0.0) for y in LABELS] for x in LABELS])
+
+    def marginals(self, found: list[list[str]]) -> tuple[float, np.ndarray, np.ndarray]:
+        """The logarithm of the sum over all labellings, and the probabilities of labels and of pairs of labels at each word."""
+        own, step = self.scores(found)
+        n = len(own)
+        ahead, behind = np.zeros_like(own), np.zeros_like(own)
+        ahead[0] = own[0]
+        for i in range(1, n):
+            ahead[i] = own[i] + np.logaddexp.reduce(ahead[i - 1][:, None] + step, axis=0)
+        for i in range(n - 2, -1, -1):
+            behind[i] = np.logaddexp.reduce(step + (own[i + 1] + behind[i + 1])[None], axis=1)
+        total = float(np.logaddexp.reduce(ahead[-1]))
+        one = np.exp(ahead + behind - total)
+        two = np.exp(ahead[:-1, :, None] + step[None] + (own[1:] + behind[1:])[:, None, :] - total)
+        return total, one, two
+
+    def log_likelihood(self, data: list[tuple[list[str], list[str], list[str]]]) -> float:
+        """The sum over lines of the log probability of their labels."""
+        out = 0.0
+        for words, middles, labels in data:
+            if words:
                 found = features(words, middles, self.templates)
-                for sequence, sign in ((labels, 1.0), (guess, -1.0)):
-                    keys = [(f, y) for fs, y in zip(found, sequence, strict=True) for f in fs] + [(f"t={a}", b) for a, b in zip(sequence, sequence[1:], strict=False)]
-                    for k in keys:
-                        self.weights[k] = self.weights.get(k, 0.0) + sign
-                        total[k] += sign * steps
-        if steps:
-            self.weights = {k: w - total[k] / (steps + 1) for k, w in self.weights.items()}
+                own, step = self.scores(found)
+                at = [LABELS.index(y) for y in labels]
+                out += sum(own[i][y] for i, y in enumerate(at)) + sum(step[x][y] for x, y in zip(at, at[1:], strict=False)) - self.marginals(found)[0]
+        return out
+
+    def fit(self, data: list[tuple[list[str], list[str], list[str]]], rounds: int = 10, seed: int = 1, penalty: float = 0.01, rate: float = 0.5) -> Chain:
+        """Maximise the likelihood of data (words, middles and labels of each line), less ``penalty`` times the squared weights.
+
+        Lines are taken one by one in random order; a weight's steps shrink with what its gradients came to so far.
+        """
+        rng, seen = random.Random(seed), defaultdict(float)
+        lines = [(features(w, m, self.templates), y) for w, m, y in data if w]
+        for _ in range(rounds):
+            rng.shuffle(lines)
+            for found, labels in lines:
+                _, one, two = self.marginals(found)
+                change: dict[tuple[str, str], float] = defaultdict(float)
+                for i, (fs, y) in enumerate(zip(found, labels, strict=True)):
+                    for k, label in enumerate(LABELS):
+                        g = (label == y) - one[i][k]
+                        for f in fs:
+                            change[f, label] += g
+                for j, x in enumerate(LABELS):
+                    for k, y in enumerate(LABELS):
+                        change[f"t={x}", y] += sum((a, b) == (x, y) for a, b in zip(labels, labels[1:], strict=False)) - float(two[:, j, k].sum())
+                for key, g in change.items():
+                    g -= penalty * self.weights.get(key, 0.0)
+                    seen[key] += g * g
+                    if g:
+                        self.weights[key] = self.weights.get(key, 0.0) + rate * g / math.sqrt(seen[key])
         return self
 
+    def saved(self) -> str:
+        return json.dumps([self.templates, [[*k, w] for k, w in self.weights.items()]])
+
+    @classmethod
+    def read(cls, text: str) -> Chain:
+        templates, weights = json.loads(text)
+        made = cls([[tuple(x) for x in t] for t in templates])
+        made.weights = {(f, y): w for f, y, w in weights}
+        return made
 
-def sample_lines(lines: DataFrame, n: int, method: str = "all", seed: int = 1) -> DataFrame:
-    """Training lines: all, random, or ltgen (evenly over templates); at most ``n``, the driver's bound."""
+
+def sample_lines(lines: DataFrame, n: int, method: str = "all", seed: int = 1, key: Column | None = None) -> DataFrame:
+    """Training lines: all, random, ltgen (evenly over what another generator puts together, named by ``key``) or leak (evenly over the
+    lines' own templates, which training should not know); at most ``n``, the driver's bound.
+    """
     if method == "all":
         return lines.orderBy("lid").limit(n)
     shuffled = F.xxhash64("lid", F.lit(seed))
     if method == "random":
         return lines.orderBy(shuffled, "lid").limit(n)
-    if method == "ltgen":
-        turn = F.row_number().over(Window.partitionBy(F.to_json("tpl")).orderBy(shuffled, "lid"))
-        return lines.withColumn("__t", turn).orderBy("__t", shuffled).limit(n).drop("__t")
+    if method in ("ltgen", "leak"):
+        by = F.to_json("tpl") if method == "leak" or key is None else key
+        turn = F.row_number().over(Window.partitionBy(by).orderBy(shuffled, "lid"))
+        return lines.withColumn("__t", turn).where(F.col("__t") <= n).orderBy("__t", shuffled).limit(n).drop("__t")
     raise ValueError(f"unknown method {method}")
 
 
-def train(lines: DataFrame, n: int = 1000, method: str = "random", rounds: int = 5, templates=None) -> Chain:
-    """A model from lines with words and tpl."""
-    rows = sample_lines(lines.where("tpl is not null"), n, method).select("lid", "words", "tpl").collect()
+def train(lines: DataFrame, n: int = 1000, method: str = "random", rounds: int = 10, templates=None, key: Column | None = None) -> Chain:
+    """A model from lines with words and tpl, of which a sample of at most ``n`` is used."""
+    rows = sample_lines(lines.where("tpl is not null"), n, method, key=key).select("lid", "words", "tpl").collect()
     rows.sort(key=lambda r: r.lid)
     return Chain(templates).fit([(r.words, [middle_label(w) for w in r.words], ["V" if t == WILDCARD else "D" for t in r.tpl]) for r in rows], rounds)
 
 
+def train_items(text: str, rounds: int = 10, templates=None) -> Chain:
+    """A model from a training file (see ``read_items``)."""
+    return Chain(templates).fit(read_items(text), rounds)
+
+
 def read_items(text: str) -> list[tuple[list[str], list[str], list[str]]]:
     """Blank-line separated lines of ``word middle label``."""
     out = []

@@ -179,6 +179,17 @@ def complete_clusters(labels: DataFrame) -> DataFrame:
     return rows.join(columns, "tid_pred").where("parts = 1 and owners = 1").select("tid_true")
 
 
+def trial_scores(answer: DataFrame, trials: DataFrame) -> DataFrame:
+    """One row of scores for each trial of ``trials`` (trial, lid, tid, tpl); trials are few."""
+    out = None
+    for row in trials.select("trial").distinct().orderBy("trial").collect():
+        labels = pair_labels(answer, trials.where(F.col("trial") == row.trial).drop("trial"))
+        made = structure_scores(labels).join(rand_scores(labels), how="cross").join(cluster_scores(labels), how="cross")  # one row each
+        made = made.select(F.lit(row.trial).alias("trial"), *made.columns)
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def average_over_trials(scores: DataFrame) -> DataFrame:
     """Mean of each metric over trials; scores: trial, metric, value."""
     return scores.groupBy("metric").agg(F.avg("value").alias("value"))

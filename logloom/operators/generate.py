@@ -44,6 +44,27 @@ def by_frequency(lines: DataFrame, method: str = "relative-variable", threshold:
     return lines.join(made, "lid")
 
 
+def by_running_frequency(lines: DataFrame, method: str = "relative-variable", threshold: float = 0.4, block: int | None = None) -> DataFrame:
+    """``by_frequency`` online: each line is judged by the counts of words, and of lines, up to and including it."""
+    from ..sources.parse import number_lines
+    from .cluster import COUNT_BLOCK, running_counts
+
+    counted = running_counts(lines, block)
+    if method == "static":
+        limit = F.lit(threshold)
+    elif method == "relative-line":
+        counted = number_lines(counted, F.floor(F.col("lid") / (block or COUNT_BLOCK)), F.col("lid"), name="__seen")
+        limit = threshold * F.col("__seen")
+    elif method == "relative-variable":
+        limit = F.element_at(F.array_sort("counts"), (F.floor(F.lit(threshold) * F.size("counts")) + 1).cast("int"))
+    else:
+        raise ValueError(f"unknown method {method}")
+    limited = counted.withColumn("__limit", limit)
+    enough = (lambda n: n >= F.col("__limit")) if method == "relative-variable" else (lambda n: n > F.col("__limit"))
+    tpl = F.zip_with("words", "counts", lambda w, n: F.when(enough(n), w).otherwise(T.WILDCARD))
+    return lines.join(limited.select("lid", tpl.alias("tpl")), "lid")
+
+
 def match_definitions(lines: DataFrame, definitions: DataFrame, method: str = "tree") -> DataFrame:
     """defid and tpl of the definition (defid, tpl) that matches each line's words; null if none does.
 
@@ -71,6 +92,20 @@ def remove_definition(definitions: DataFrame, tpl: list[str]) -> DataFrame:
     return definitions.where(F.col("tpl") != F.array(*map(F.lit, tpl)))
 
 
+def shuffled(definitions: DataFrame, seed: int = 1) -> DataFrame:
+    """The definitions in another order, as only the first that matches counts when they are looked through one by one."""
+    order = Window.orderBy(F.xxhash64(F.to_json("tpl"), F.lit(seed)), "defid")  # one row per definition of the site's own file
+    return definitions.withColumn("defid", (F.row_number().over(order) - 1).cast("long"))
+
+
+def external_templates(text: str, mode: str = "plain") -> list[str]:
+    """Templates of a file, one a line: plain, or ids, where an id and a blank come before each."""
+    if mode not in ("plain", "ids"):
+        raise ValueError(f"unknown mode {mode}")
+    lines = text.splitlines() if mode == "plain" else [x.partition(" ")[2].strip() for x in text.splitlines()]
+    return [x for x in lines if x]
+
+
 def external_pattern(template: str, placeholder: str = "<*>") -> str:
     """A regular expression that matches whole statements: placeholders capture the shortest span."""
     import re

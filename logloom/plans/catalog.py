@@ -436,6 +436,23 @@ def tpl_va_relative_variable(spark, d):
     return _text(generate.by_frequency(document_log(spark, d)).select("lid", "tpl"), "tpl")
 
 
+RUNNING = """, p AS (SELECT lid, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM log_doc),
+c AS (SELECT lid, p, x, count(*) OVER (PARTITION BY x ORDER BY lid RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM p)"""
+
+
+@query(RUNNING + " SELECT lid, string_agg(CASE WHEN n > 0.01 * lid THEN x ELSE '**' END, ' ' ORDER BY p) AS tpl FROM c GROUP BY lid", doc=True)
+def tpl_va_online_line(spark, d):
+    return _text(generate.by_running_frequency(document_log(spark, d), "relative-line", 0.01).select("lid", "tpl"), "tpl")
+
+
+@query(
+    RUNNING + ", h AS (SELECT lid, list_sort(list(n))[floor(0.4 * count(*))::int + 1] AS th FROM c GROUP BY lid) SELECT c.lid, string_agg(CASE WHEN n >= th THEN x ELSE '**' END, ' ' ORDER BY p) AS tpl FROM c JOIN h ON c.lid = h.lid GROUP BY c.lid",
+    doc=True,
+)
+def tpl_va_online_variable(spark, d):
+    return _text(generate.by_running_frequency(document_log(spark, d)).select("lid", "tpl"), "tpl")
+
+
 DEFINITIONS = ["** user ** value ** k **", "click user ** value ** k **", "** user 7 value ** k **", "view user ** value ** ** 5", "error ** **"]
 DEFS = "defs(defid, d) AS (VALUES " + ", ".join(f"({i}::bigint, string_split('{x}', ' '))" for i, x in enumerate(DEFINITIONS)) + """),
 fits AS (SELECT lid, defid, d, array_to_string([CASE WHEN x = '**' THEN '0' ELSE '1' END for x in d], '') AS bits FROM log_ev JOIN defs ON len(w) = len(d)
@@ -504,12 +521,25 @@ def tpl_fttree(spark, d):
     return _mined(cluster.frequent_tree(document_log(spark, d), message_type="length"))
 
 
+@query()
+def tpl_fttree_online(spark, d):
+    return _mined(cluster.frequent_tree(document_log(spark, d), message_type="length", online=True))
+
+
+@query()
+def tpl_joint_feedback(spark, d):
+    """Two definitions, and drain for the rest of the event log, with feedback."""
+    given = [(i, x.split()) for i, x in enumerate(DEFINITIONS[1:3])]
+    return _mined(cluster.joint(event_log(spark, d), given, cluster.Drain, cluster.leaf_of(), rules=V.DIGITS))
+
+
 @query()
 def tpl_crf(spark, d):
+    """The tagger learns from a documented bounded sample: 1,000 random lines of the whole log, labelled by rule."""
     from ..operators import crf
 
     lines = event_log(spark, d)
-    model = crf.train(generate.by_rules(lines).where(F.col("lid") <= 500))
+    model = crf.train(generate.by_rules(lines))
     return _text(crf.tag(lines, model).select("lid", "tpl"), "tpl")
 
 

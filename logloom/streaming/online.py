@@ -1,22 +1,22 @@
 """Online mode: Structured Streaming over incoming log files.
 
-Generators without state run as they are. Drain keeps the clusters of a leaf in the state store, so a restart resumes from the
-checkpoint. Rows of a micro-batch are sorted by (file, line) within the handler, since a state handler gets them in no order.
+Generators without state run as they are. The others keep their miner's state per group in the state store, so a restart resumes from
+the checkpoint. Rows of a micro-batch are sorted by (file, line) within the handler, since a state handler gets them in no order.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..functions.variables import DIGITS, VariableRules
-from ..operators.cluster import Drain, drain_leaf
+from ..operators import cluster
+from ..operators.cluster import Saved
 from ..sources.formats import LogFormat
 from ..sources.parse import number_lines, parse_lines
 from ..store import LogStore
@@ -29,24 +29,47 @@ def stream_lines(spark: SparkSession, path: str, fmt: LogFormat, files_per_trigg
     return parse_lines(named, fmt).where("words is not null")
 
 
-def drain_stream(lines: DataFrame, threshold: float = 0.3, depth: int = 3, rules: VariableRules = DIGITS) -> DataFrame:
-    """cid, tpl and the position of each line (column ``at``, any sortable text) with state per leaf."""
-    masked = lines.withColumn("tokens", rules.template(F.col("words")))
-    keyed = masked.select(drain_leaf(F.col("tokens"), depth).alias("leaf"), "at", "tokens")
+def mined_stream(lines: DataFrame, group: Column, miner: Callable[[], Saved]) -> DataFrame:
+    """cid, tpl and the position of each line (column ``at``, any sortable text) by ``miner``, with its whole state per group.
+
+    lines: at and words. The state is what the miner's dump() gives, so a restarted stream goes on where it stopped.
+    """
+    keyed = lines.select(group.cast("string").alias("g"), "at", "words")
 
     def handle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        miner = Drain(threshold)
+        own = miner()
         if state.exists:
-            miner.templates = json.loads(state.get[0])
-        rows = pd.concat(list(frames)).sort_values("at")  # one leaf of one micro-batch
+            own.load(state.get[0])
+        rows = pd.concat(list(frames)).sort_values("at")  # one group of one micro-batch
         out = []
-        for at, tokens in zip(rows["at"], rows["tokens"], strict=True):
-            cid, tpl = miner.add(list(tokens))
+        for at, words in zip(rows["at"], rows["words"], strict=True):
+            cid, tpl = own.add(list(words))
             out.append((at, f"{key[0]}/{cid}", list(tpl)))
-        state.update((json.dumps(miner.templates),))
+        state.update((own.dump(),))
         yield pd.DataFrame(out, columns=["at", "cid", "tpl"])
 
-    return keyed.groupBy("leaf").applyInPandasWithState(handle, "at string, cid string, tpl array<string>", "templates string", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("g").applyInPandasWithState(handle, "at string, cid string, tpl array<string>", "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+def drain_stream(lines: DataFrame, threshold: float = 0.3, depth: int = 3, rules: VariableRules = DIGITS) -> DataFrame:
+    """Drain with state per leaf."""
+    masked = lines.select("at", rules.template(F.col("words")).alias("words"))
+    return mined_stream(masked, cluster.drain_leaf(F.col("words"), depth), lambda: cluster.Drain(threshold))
+
+
+def lenma_stream(lines: DataFrame, threshold: float = 0.9, n_same: int = 3, head_rule: bool = True) -> DataFrame:
+    """Word-length clusters with state per number of words."""
+    return mined_stream(lines, F.size("words"), lambda: cluster.Lenma(threshold, n_same, head_rule))
+
+
+def shiso_stream(lines: DataFrame, threshold: float = 0.9, max_child: int = 4) -> DataFrame:
+    """The search tree: one state, as the method has no independent parts."""
+    return mined_stream(lines, F.lit("all"), lambda: cluster.Shiso(threshold, max_child))
+
+
+def tree_stream(lines: DataFrame, max_child: int = 6, cut_depth: int = 3, message_type: str = "length") -> DataFrame:
+    """Frequent-word trees with state per message type, each with the counts of its own words."""
+    return mined_stream(lines, cluster.tree_of(message_type), lambda: cluster.CountingTree(max_child, cut_depth))
 
 
 def counts_by_window(lines: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
