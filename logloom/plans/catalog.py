@@ -608,9 +608,9 @@ def edit_split(spark, d):
 
 
 @query(
-    """, one AS (SELECT * FROM log WHERE host = 'R00-M0-N0' AND w[3] = (SELECT min(w[3]) FROM log WHERE host = 'R00-M0-N0'))
-SELECT ltid, CASE WHEN ltid = 1 THEN array_to_string([CASE WHEN i = 3 THEN u ELSE tpl[i] END for i in generate_series(1, 7)], ' ') ELSE array_to_string(tpl, ' ') END AS tpl, c AS n
-FROM lt, (SELECT min(w[3]) FILTER (ltid = 1) AS u FROM one)""",
+    """, one AS (SELECT min(w[3]) AS u, count(DISTINCT w[3]) AS n FROM log WHERE ltid = 1)
+SELECT ltid, CASE WHEN ltid = 1 AND n = 1 THEN array_to_string([CASE WHEN i = 3 THEN u ELSE tpl[i] END for i in generate_series(1, 7)], ' ') ELSE array_to_string(tpl, ' ') END AS tpl, c AS n
+FROM lt, one""",
     ev="ev",
 )
 def edit_fix(spark, d):
@@ -724,7 +724,7 @@ def anonymize_restored(spark, d):
     return anonymize.restore_hosts(log, mapping).select("lid", "host")
 
 
-@query("SELECT lid, w[1] || ' user *number* value ' || CASE WHEN len(w[5]) = 1 THEN '*digit*' ELSE '*number*' END || ' k ' || CASE WHEN len(w[7]) = 1 THEN '*digit*' ELSE '*number*' END AS tpl FROM log WHERE len(w[3]) > 1", ev="ev")
+@query("SELECT lid, w[1] || ' user ' || CASE WHEN len(w[3]) = 1 THEN '*digit*' ELSE '*number*' END || ' value ' || CASE WHEN len(w[5]) = 1 THEN '*digit*' ELSE '*number*' END || ' k ' || CASE WHEN len(w[7]) = 1 THEN '*digit*' ELSE '*number*' END AS tpl FROM log", ev="ev")
 def labelled_variables(spark, d):
     e = Ev(spark, d)
     rules = V.VariableRules(["ipaddr"], {"digit": r"\d$", "number": r"\d+$"})

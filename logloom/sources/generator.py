@@ -75,16 +75,29 @@ class LogGenerator:
         return [f"{dt:%Y-%m-%d %H:%M:%S} {host} {text}" for dt, host, text in sorted(made)]
 
 
-def example(seed: int = 3, days: int = 30) -> LogGenerator:
-    """A small site of routers, switches and servers."""
-    top = datetime(2112, 9, 1)
-    sites = {"rt": [f"rt{i}" for i in range(3)], "sw": [f"sw{i}" for i in range(5)], "sv": [f"sv{i}.test.domain" for i in range(9)]}
-    cron = "CRON[$pid$]: ($user$) CMD (   cd / && run-parts --report /etc/cron.{})"
-    names = {"ifname": ["eth0", "eth1", "eth2"]}
+def example(seed: int = 11, days: int = 21) -> LogGenerator:
+    """An invented archive: front ends that take requests, stores that hold volumes, and a tape robot."""
+    top = datetime(2031, 3, 3)
+    sites = {"front": [f"front-{c}" for c in "abcd"], "store": [f"store{i:02d}.archive.invalid" for i in range(1, 8)], "robot": ["robot-1", "robot-2"]}
     events = [
-        Event(["rt", "sw"], [Message(cron.format("hourly"))], "hourly", info={"user": ["root"]}),
-        Event(["rt", "sw", "sv"], [Message(cron.format("daily"))], "daily", info={"user": ["root"]}),
-        Event(["rt", "sw"], [Message("Interface $ifname$ went down"), Message("Interface $ifname$ came up", "delay"), Message("Connection timeout on interface $ifname$", drop=0.7)], frequency=0.1, recur=0.8, info=names),
-        Event(["sv"], [Message("System restart"), Message("Connection failed with $host$", "other", group="sv")], frequency=0.04),
-    ]
+        Event(["front", "store"], [Message("keeper[$pid$]: lease for $user$ renewed, ttl=3600")], "hourly", info={"user": ["keeper", "ingest"]}),
+        Event(["store"], [Message("scrub of volume $volume$ finished without errors")], "daily", info={"volume": [f"vol{i}" for i in range(40)]}),
+        Event(
+            ["front"],
+            [Message("carrier lost on port $port$"), Message("carrier back on port $port$", "delay"), Message("requests through port $port$ are held", drop=0.6)],
+            frequency=0.3, recur=0.5, info={"port": ["p1", "p2", "p3", "p4"]},
+        ),
+        Event(["robot"], [Message("cartridge $slot$ stuck, door opened by operator", "other", group="robot")], frequency=0.5, info={"slot": [f"s{i}" for i in range(90)]}),
+    ]
     return LogGenerator(sites, events, top, top + timedelta(days=days), seed)
+
+
+#: The templates of ``example``, as its tokens are split.
+EXAMPLE_TEMPLATES = [
+    "keeper ** lease for ** renewed ttl 3600",
+    "scrub of volume ** finished without errors",
+    "carrier lost on port **",
+    "carrier back on port **",
+    "requests through port ** are held",
+    "cartridge ** stuck door opened by operator",
+]

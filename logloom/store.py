@@ -24,7 +24,7 @@ PARTITIONS = {"log": ["day"], "hg": ["tier"]}
 
 
 class LogStore:
-    """A folder of tables. mode: read (must exist), append (created if missing) or reset (emptied)."""
+    """A folder of tables. mode: read (must exist), append (created if missing) or reset (emptied). One writer at a time, any readers."""
 
     def __init__(self, spark: SparkSession, path: str, mode: str = "append"):
         self.spark, self.path, self.mode = spark, path.rstrip("/"), mode
@@ -32,8 +32,8 @@ class LogStore:
             raise ValueError(f"unknown mode {mode}")
         if mode == "reset":
             self.drop()
-        else:
-            self.recover()
+        elif mode == "append" or not (self.exists("log") and self.exists("lt")):
+            self.recover()  # a reader leaves a writer's folders alone
         if mode == "read":
             if not self.exists("log") or not self.exists("lt"):
                 raise FileNotFoundError(f"no log store in {path}")
@@ -85,7 +85,7 @@ class LogStore:
                 if not self.exists(table):  # died between two moves
                     self._move(f"_new_{table}_{mark}" if self.exists(f"_new_{table}_{mark}/_SUCCESS") else f"_old_{table}_{mark}", table)
         for name in self._names():
-            if name.startswith(("_new_", "_old_")):
+            if name.startswith("_"):
                 self._delete(name)
 
     def repair(self) -> list[str]:

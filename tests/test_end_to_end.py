@@ -7,7 +7,7 @@ import pytest
 
 from logloom import cli
 from logloom.plans import catalog
-from logloom.sources.generator import example
+from logloom.sources.generator import EXAMPLE_TEMPLATES, example
 from logloom.store import LogStore
 
 SQL = sorted(catalog.ORACLES)
@@ -19,7 +19,7 @@ def site(tmp_path_factory):
     lines = example().lines()
     (top / "a.log").write_text("\n".join(lines[: len(lines) // 2]) + "\n")
     (top / "b.log").write_text("\n".join(lines[len(lines) // 2 :]) + "\n")
-    (top / "answer.tpl").write_text("CRON ** ** CMD cd / && run-parts --report **\nInterface ** went down\nInterface ** came up\nConnection timeout on interface **\nSystem restart\nConnection failed with **\n")
+    (top / "answer.tpl").write_text("\n".join(EXAMPLE_TEMPLATES) + "\n")
     return top, lines
 
 
@@ -50,9 +50,9 @@ def test_commands_run(spark, site, capsys):
     conf = config(top, "import")
     files = [str(top / "a.log")]
     cli.main(["db-make", *files, "-c", conf])
-    for command in (["db-remake-group"], ["db-tag"], ["show-db-info"], ["show-lt"], ["show-ltg"], ["show-tag"], ["show-host"], ["show-lt-words"], ["show-lt-variable", "-d"], ["show-lt-breakdown", "--ltid", "1"],
-                    ["show-lt-positions"], ["show-log", "-w", "host_like=rt%", "-n", "3"], ["show-algorithms"], ["conf-defaults"], ["conf-minimum"], ["lt-merge-dup", "-f"], ["db-repair"],
-                    ["show-lt-import", "-o", f"{top}/out"], ["data-from-db", "-o", f"{top}/days"], ["db-anonymize", "-o", f"{top}/map"]):
+    for command in (["db-remake-group"], ["db-tag"], ["show-db-info"], ["show-lt"], ["show-ltg"], ["show-tag"], ["show-tag-stats"], ["show-line", "--lid", "5"], ["show-host"], ["show-lt-words"], ["show-lt-variable", "-d"], ["show-lt-breakdown", "--ltid", "1"],
+                    ["show-lt-positions"], ["show-log", "-w", "host_like=front%", "-n", "3"], ["show-algorithms"], ["conf-defaults"], ["conf-minimum"], ["lt-merge-dup", "-f"], ["db-repair"],
+                    ["show-lt-import", "-o", f"{top}/out"], ["show-lt-import", "-e", "-o", f"{top}/out-e"], ["data-from-db", "-o", f"{top}/days"], ["db-anonymize", "-o", f"{top}/map"]):
         cli.main([*command, "-c", conf])
     cli.main(["show-accuracy", *files, "-c", conf, "--answer", f"{top}/answer.tpl", "--failures"])
     assert "1.0" in capsys.readouterr().out
@@ -61,6 +61,31 @@ def test_commands_run(spark, site, capsys):
     assert Path(f"{top}/days").exists()
 
 
+def test_evaluation_commands(spark, site, capsys):
+    top, lines = site
+    (top / "few.log").write_text("\n".join(lines[:300]) + "\n")
+    conf = config(top, "drain")
+    files = [str(top / "few.log"), "-c", conf, "--answer", f"{top}/answer.tpl"]
+    for command in (["measure-accuracy-offline", "-n", "2"], ["show-measured"], ["measure-accuracy-online", "-n", "1"], ["search-fail"], ["measure-time-offline", "-n", "1"], ["search-diff", "--other-config", config(top, "re")]):
+        cli.main([command[0], *files, *command[1:], "-o", f"{top}/measured"])
+    out = capsys.readouterr().out
+    assert "trial" in out and "mean" in out
+    cli.main(["db-make", str(top / "few.log"), "-c", config(top, "import")])
+    cli.main(["make-crf-model", "-c", config(top, "import"), "-o", f"{top}/model"])
+    (top / "crf.ini").write_text(f"[store]\npath = {top}/store-crf\n[generate]\nmethods = crf\n[crf]\nmodel = {top}/model\n")
+    cli.main(["db-make", str(top / "few.log"), "-c", str(top / "crf.ini")])
+    assert LogStore(spark, f"{top}/store-crf", "read").table("log").count() == 300
+    cli.main(["conf-shadow", "-c", conf, "-o", f"{top}/shadow.ini"])
+    (top / "groups").write_text(f"[all]\n{top}/shadow.ini\n")
+    cli.main(["conf-group-edit", f"{top}/groups", "all", "drain", "depth", "5"])
+    cli.main(["conf-minimum", "-c", f"{top}/shadow.ini"])
+    assert "depth = 5" in capsys.readouterr().out
+    both = top / "both.ini"
+    both.write_text(f"[store]\npath = {top}/store-both\n[generate]\nmethods = import, drain\nfeedback = true\n[import]\ndefinitions = {top}/answer.tpl\n")
+    cli.main(["db-make", str(top / "few.log"), "-c", str(both)])
+    assert LogStore(spark, f"{top}/store-both", "read").table("log").count() == 300
+
+
 def _norm(v):
     return "null" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)
 
