@@ -11,7 +11,9 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -326,6 +328,35 @@ class FrequentTree(Saved):
         return self.known.setdefault(tuple(tpl), len(self.known)), tpl
 
 
+#: Words that come more than once go to all executors up to so many, as one table of counts, and are joined by a shuffle beyond.
+BROADCAST_WORDS = 1_000_000
+
+
+def word_counts(lines: DataFrame, most: int | None = None) -> DataFrame:
+    """lid, words and counts: how often each word comes in all lines."""
+    counts = lines.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    most = BROADCAST_WORDS if most is None else most
+    known = counts.where("n > 1").limit(most + 1).toArrow()  # a checked number of rows
+    if known.num_rows > most:
+        places = lines.select("lid", F.posexplode("words").alias("p", "w"))
+        counted = places.join(counts, "w").groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("p", "w", "n"))).alias("a"))  # a line's words
+        return counted.select("lid", F.transform("a", lambda x: x["w"]).alias("words"), F.transform("a", lambda x: x["n"]).alias("counts"))
+    sent = lines.sparkSession.sparkContext.broadcast((known.column("w").combine_chunks(), known.column("n").to_numpy()))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, numbers = sent.value
+        numbers = np.append(numbers, 1)
+        for batch in batches:
+            lists = batch.column(1)
+            own = lists.flatten()
+            at = pc.fill_null(pc.index_in(own, value_set=words), len(words)) if len(words) else pa.array(np.zeros(len(own), dtype=np.int32))
+            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            counts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(numbers[at.to_numpy()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, counts], ["lid", "words", "counts"])
+
+    return lines.select(F.col("lid").cast("long"), "words").where("size(words) > 0").mapInArrow(counted, "lid long, words array<string>, counts array<long>")
+
+
 class CountingTree(FrequentTree):
     """A frequent-word tree that counts the words itself, each line's own included: the online form, for streams."""
 
@@ -351,13 +382,7 @@ def frequent_tree(lines: DataFrame, max_child: int = 6, cut_depth: int = 3, mess
 
     Offline the words are counted over all lines first; online a line's words count as often as they came up to that line.
     """
-    if online:
-        made = running_counts(lines)
-    else:
-        places = lines.select("lid", F.posexplode("words").alias("p", "w"))
-        counts = places.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        counted = places.join(counts, "w").groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("p", "w", "n"))).alias("a"))
-        made = counted.select("lid", F.transform("a", lambda x: x["w"]).alias("words"), F.transform("a", lambda x: x["n"]).alias("counts"))
+    made = running_counts(lines) if online else word_counts(lines)
     return ordered(made, tree_of(message_type), lambda: FrequentTree(max_child, cut_depth), 1 if message_type == "none" else None)
 
 
@@ -368,18 +393,34 @@ COUNT_BLOCK = 4096
 def running_counts(lines: DataFrame, block: int | None = None) -> DataFrame:
     """lid, words and counts: how often each word came in all lines up to and including this one.
 
-    Words are counted within blocks of line ids, and what earlier blocks had comes from a running sum with one row per word and block,
-    so a word that is everywhere is dealt over as many keys as there are blocks.
+    Lines are counted in blocks of line ids, each in order by one task at a time. What earlier blocks had of a block's words comes from
+    a running sum with one row per word and block, so a word that is everywhere is dealt over as many keys as there are blocks.
     """
-    numbered = lines.select("lid", "words", F.floor(F.col("lid") / (block or COUNT_BLOCK)).alias("block"))
-    places = numbered.select("lid", "block", F.posexplode("words").alias("p", "w"))
-    within = F.count(F.lit(1)).over(Window.partitionBy("block", "w").orderBy("lid").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    sums = places.groupBy("block", "w").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("w").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("block", "w", before.alias("before"))
-    counted = places.withColumn("within", within).join(offsets, ["block", "w"]).select("lid", F.struct("p", (F.col("within") + F.col("before")).alias("n")).alias("x"))
-    rebuilt = counted.groupBy("lid").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["n"]).alias("counts"))  # a line's words
-    return lines.join(rebuilt, "lid").select("lid", "words", "counts")
+    numbered = lines.select(F.floor(F.col("lid") / (block or COUNT_BLOCK)).cast("long").alias("block"), "lid", "words")
+    sums = numbered.select("block", F.explode("words").alias("w")).groupBy("block", "w").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("w").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("block", "w", before.alias("n")).where("n > 0").groupBy("block").agg(F.collect_list("w").alias("words"), F.collect_list("n").alias("known"))  # a block's words
+    first = offsets.select("block", F.lit(-(1 << 63)).alias("lid"), "words", "known")
+    dealt = numbered.withColumn("known", F.lit(None).cast("array<long>")).unionByName(first).repartition("block").sortWithinPartitions("block", "lid")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen = None, {}
+        for batch in batches:
+            lids, texts, counts = [], [], []
+            for at, lid, words, known in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if at != current:
+                    current, seen = at, {}
+                if known is not None:
+                    seen = dict(zip(words, known, strict=True))
+                    continue
+                for w in words:
+                    seen[w] = seen.get(w, 0) + 1
+                lids.append(lid)
+                texts.append(words)
+                counts.append([seen[w] for w in words])
+            yield pa.RecordBatch.from_arrays([pa.array(lids, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], ["lid", "words", "counts"])
+
+    return dealt.mapInArrow(counted, "lid long, words array<string>, counts array<long>")
 
 
 class Joint(Saved):

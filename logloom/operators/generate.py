@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,55 +14,45 @@ def by_rules(lines: DataFrame, rules: VariableRules = DIGITS) -> DataFrame:
     return lines.withColumn("tpl", rules.template(F.col("words")))
 
 
-def by_frequency(lines: DataFrame, method: str = "relative-variable", threshold: float = 0.4) -> DataFrame:
+def by_frequency(lines: DataFrame, method: str = "relative-variable", threshold: float = 0.4, most: int | None = None) -> DataFrame:
     """tpl: words that are frequent enough stay. Counts are over all lines and every occurrence.
 
     static: over ``threshold`` occurrences. relative-line: over ``threshold`` times the number of lines. relative-variable: at least the
-    count at place ``threshold`` of the line's own counts in ascending order. The counts join by word, where adaptive execution can split
-    a frequent word; the lines are put together again by their id.
+    count at place ``threshold`` of the line's own counts in ascending order. Words are counted by one aggregation; the counts of those
+    that come again go to where the lines are, up to a checked number of words (``most``), and are joined by a shuffle beyond.
     """
-    places = lines.select("lid", F.posexplode("words").alias("p", "w"))
-    counts = places.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counted = places.join(counts, "w")
-    if method == "relative-line":
-        total = lines.agg(F.count(F.lit(1)).alias("__lines"))
-        counted = counted.join(F.broadcast(total), how="cross").withColumn("keep", F.col("n") > threshold * F.col("__lines"))  # one row
-    elif method == "static":
-        counted = counted.withColumn("keep", F.col("n") > threshold)
-    elif method != "relative-variable":
-        raise ValueError(f"unknown method {method}")
-    if method == "relative-variable":
-        rebuilt = counted.groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("p", "w", "n"))).alias("a"))  # a line's words
-        sorted_counts = F.array_sort(F.transform("a", lambda x: x["n"]))
-        limit = F.element_at(sorted_counts, (F.floor(F.lit(threshold) * F.size("a")) + 1).cast("int"))
-        limited = rebuilt.withColumn("limit", limit)
-        tpl = F.transform("a", lambda x: F.when(x["n"] >= F.col("limit"), x["w"]).otherwise(T.WILDCARD))
-        made = limited.select("lid", tpl.alias("tpl"))
-    else:
-        rebuilt = counted.groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("p", F.when(F.col("keep"), F.col("w")).otherwise(T.WILDCARD).alias("w")))).alias("a"))
-        made = rebuilt.select("lid", F.transform("a", lambda x: x["w"]).alias("tpl"))
-    return lines.join(made, "lid")
+    from .cluster import word_counts
 
+    counted = word_counts(lines, most)
+    total = lines.count() if method == "relative-line" else 0
+    return lines.join(_frequent(counted, method, threshold, F.lit(total)), "lid")
 
-def by_running_frequency(lines: DataFrame, method: str = "relative-variable", threshold: float = 0.4, block: int | None = None) -> DataFrame:
-    """``by_frequency`` online: each line is judged by the counts of words, and of lines, up to and including it."""
-    from ..sources.parse import number_lines
-    from .cluster import COUNT_BLOCK, running_counts
 
-    counted = running_counts(lines, block)
+def _frequent(counted: DataFrame, method: str, threshold: float, total: Column) -> DataFrame:
+    """lid and tpl of ``counted`` (lid, words, counts); total: the number of lines that the counts are over."""
     if method == "static":
         limit = F.lit(threshold)
     elif method == "relative-line":
-        counted = number_lines(counted, F.floor(F.col("lid") / (block or COUNT_BLOCK)), F.col("lid"), name="__seen")
-        limit = threshold * F.col("__seen")
+        limit = threshold * total
     elif method == "relative-variable":
         limit = F.element_at(F.array_sort("counts"), (F.floor(F.lit(threshold) * F.size("counts")) + 1).cast("int"))
     else:
         raise ValueError(f"unknown method {method}")
     limited = counted.withColumn("__limit", limit)
     enough = (lambda n: n >= F.col("__limit")) if method == "relative-variable" else (lambda n: n > F.col("__limit"))
-    tpl = F.zip_with("words", "counts", lambda w, n: F.when(enough(n), w).otherwise(T.WILDCARD))
-    return lines.join(limited.select("lid", tpl.alias("tpl")), "lid")
+    return limited.select("lid", F.zip_with("words", "counts", lambda w, n: F.when(enough(n), w).otherwise(T.WILDCARD)).alias("tpl"))
+
+
+def by_running_frequency(lines: DataFrame, method: str = "relative-variable", threshold: float = 0.4, block: int | None = None) -> DataFrame:
+    """``by_frequency`` online: each line is judged by the counts of words, and of lines, up to and including it."""
+    from ..sources.parse import number_lines
+    from .cluster import COUNT_BLOCK, running_counts
+
+    counted = running_counts(lines, block)
+    if method == "relative-line":
+        counted = number_lines(counted, F.floor(F.col("lid") / (block or COUNT_BLOCK)), F.col("lid"), name="__seen")
+        return lines.join(_frequent(counted, method, threshold, F.col("__seen")), "lid")
+    return lines.join(_frequent(counted, method, threshold, F.lit(0)), "lid")
 
 
 def match_definitions(lines: DataFrame, definitions: DataFrame, method: str = "tree") -> DataFrame:

@@ -104,12 +104,13 @@ def test_merged_prefixes(spark, frame, lines, data):
     assert {r.lid: r.tpl for r in cluster.merged_prefixes(frame).collect()} == ref.merged_prefixes(lines)
 
 
+@pytest.mark.parametrize("most", [0, None])
 @pytest.mark.parametrize(("method", "threshold"), [("static", 1), ("relative-line", 0.5), ("relative-variable", 0.4)])
-def test_frequency(spark, method, threshold):
+def test_frequency(spark, method, threshold, most):
     rows = [(1, "proc started ok".split()), (2, "proc started ok".split()), (3, "proc stopped err".split())]
     df = spark.createDataFrame(rows, "lid long, words array<string>")
     counts = {"proc": 3, "started": 2, "ok": 2, "stopped": 1, "err": 1}
-    got = {r.lid: r.tpl for r in generate.by_frequency(df, method, threshold).collect()}
+    got = {r.lid: r.tpl for r in generate.by_frequency(df, method, threshold, most).collect()}
     for lid, words in rows:
         limit = {"static": lambda n: n > 1, "relative-line": lambda n: n > 1.5, "relative-variable": lambda n, w=words: n >= sorted(counts[x] for x in w)[1]}[method]
         assert got[lid] == [w if limit(counts[w]) else "**" for w in words]
