@@ -34,7 +34,7 @@ class Context:
         fmt = log_format(c.get("general", "format"), int(year) if year else None)
         alias = c.get("parse", "host_alias")
         aliases = hosts.load_aliases(self.spark, alias) if alias else None
-        found = parse.expand_paths(paths, c.getboolean("general", "src_recur"))
+        found = parse.expand_paths(paths, c.getboolean("general", "src_recur"), self.spark)
         return parse.read_log(self.spark, found, fmt, aliases, c.getboolean("parse", "undefined_host"), c.get("parse", "dummy_host"))
 
     def mined(self) -> DataFrame:
@@ -88,12 +88,27 @@ def db_repair(c: Context) -> None:
 
 
 def db_anonymize(c: Context) -> None:
+    """The log with pseudonyms, in place or as another store (--to); the mappings, which restore it, go to a folder."""
     s = c.store("append")
     log, lt, mapping = anonymize.anonymize(s.table("log"), s.table("lt"))
-    mapping.coalesce(1).write.mode("overwrite").json(c.args.output)
-    if not c.args.mapping_only:
-        s.replace("log", log)
-        s.replace("lt", lt)
+    mapping.coalesce(1).write.mode("overwrite").json(f"{c.args.output}/hosts")
+    s.table("lt").select("ltid", "ltw", "lts").coalesce(1).write.mode("overwrite").json(f"{c.args.output}/templates")
+    if c.args.mapping_only:
+        return
+    target = LogStore(c.spark, c.args.to, "reset") if c.args.to else s
+    target.replace("log", log)
+    target.replace("lt", lt)
+    for name in ("ltg", "tag") if c.args.to else ():
+        target.replace(name, s.table(name))
+
+
+def db_restore(c: Context) -> None:
+    """Hosts and templates of an anonymous store again, from the folder of mappings."""
+    s = c.store("append")
+    hosts_of, templates = anonymize.read_mappings(c.spark, c.args.output)
+    lt = anonymize.restore_templates(s.table("lt"), templates)
+    s.replace("log", anonymize.restore_log(s.table("log"), hosts_of, lt))
+    s.replace("lt", lt)
 
 
 def clean(c: Context) -> None:
@@ -378,7 +393,7 @@ def make_crf_train(c: Context) -> None:
 
 COMMANDS = {
     "data-parse": data_parse, "data-from-db": data_from_db, "data-from-data": data_from_data,
-    "db-make": db_make, "db-add": db_add, "db-remake-group": db_remake_group, "db-tag": db_tag, "db-repair": db_repair, "db-anonymize": db_anonymize, "clean": clean,
+    "db-make": db_make, "db-add": db_add, "db-remake-group": db_remake_group, "db-tag": db_tag, "db-repair": db_repair, "db-anonymize": db_anonymize, "db-restore": db_restore, "clean": clean,
     "show-db-info": show_db_info, "show-lt": show_lt, "show-ltg": show_ltg, "show-tag": show_tags, "show-tag-stats": show_tag, "show-lt-import": show_lt_import, "dump-lt": show_lt_import,
     "show-host": show_host, "host-group-update": host_group_update, "show-host-group": show_host_group, "host-group-check": host_group_check,
     "show-log": show_log, "show-line": show_line, "conf-shadow": conf_shadow, "conf-group-edit": conf_group_edit, "show-algorithms": show_algorithms, "conf-defaults": conf_defaults, "conf-diff": conf_diff, "conf-minimum": conf_minimum,
@@ -417,6 +432,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--value")
     p.add_argument("--answer", help="definitions that are right")
     p.add_argument("--failures", action="store_true")
+    p.add_argument("--to", help="a folder for another store")
     p.add_argument("--mapping-only", action="store_true")
     return p
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WILDCARD
@@ -36,3 +36,20 @@ def anonymize(log: DataFrame, lt: DataFrame) -> tuple[DataFrame, DataFrame, Data
 def restore_hosts(log: DataFrame, mapping: DataFrame) -> DataFrame:
     back = mapping.select(F.col("anonymous").alias("host"), F.col("host").alias("__h"))
     return log.join(back, "host").withColumn("host", F.col("__h")).drop("__h")
+
+
+def read_mappings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(hosts, templates) as they were written beside an anonymous log: host, anonymous; and ltid, ltw, lts."""
+    return spark.read.schema("host string, anonymous string").json(f"{path}/hosts"), spark.read.schema("ltid long, ltw array<string>, lts array<string>").json(f"{path}/templates")
+
+
+def restore_templates(lt: DataFrame, templates: DataFrame) -> DataFrame:
+    """Templates and symbols as they were; counts are the anonymous log's."""
+    old = templates.select("ltid", F.col("ltw").alias("__w"), F.col("lts").alias("__s"))
+    return lt.join(old, "ltid", "left").withColumn("ltw", F.coalesce("__w", "ltw")).withColumn("lts", F.coalesce("__s", "lts")).drop("__w", "__s")
+
+
+def restore_log(log: DataFrame, mapping: DataFrame, lt: DataFrame) -> DataFrame:
+    """Lines with their hosts and with the words of their templates; the values of variables are gone for good and stay wildcards."""
+    own = lt.select("ltid", F.col("ltw").alias("__w"))
+    return restore_hosts(log, mapping).join(own, "ltid", "left").withColumn("words", F.coalesce("__w", "words")).drop("__w")

@@ -558,6 +558,42 @@ def group_fuzzy(spark, d):
     return grouping.by_fuzzy_text(Ev(spark, d).lt)
 
 
+# --- streams: what a stream over the table gives once it has seen all of it
+
+
+def _streamed(spark, d, made, mode: str, key: str):
+    """The rows of a streaming query over the events, run to the end into memory."""
+    import uuid
+
+    name = f"{key}_{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/[e]vents.parquet")  # a pattern, as the table may be one file or a folder
+    made(events).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT date_trunc('day', ts)::timestamp AS start, event_type AS host, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, d):
+    from ..streaming import online
+
+    lines = lambda e: e.select(F.col("ts").alias("dt"), F.col("event_type").alias("host"))
+    made = _streamed(spark, d, lambda e: online.counts_by_window(lines(e), "1 day"), "complete", "stream_windowed_counts")
+    return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "host", "n")
+
+
+@query("SELECT event_id + 1 AS lid, event_type || ' user ** value ** k **' AS tpl FROM events")
+def stream_drain(spark, d):
+    """Drain over the stream of the event log: every line with its template at the end of the stream."""
+    from ..streaming import online
+
+    def lines(e: DataFrame) -> DataFrame:
+        words = F.array("event_type", F.lit("user"), F.col("user_id").cast("string"), F.lit("value"), F.floor("value").cast("long").cast("string"), F.lit("k"), F.regexp_extract("props", r"(\d+)", 1))
+        return e.select(F.lpad((F.col("event_id") + 1).cast("string"), 20, "0").alias("at"), words.alias("words"))
+
+    made = _streamed(spark, d, lambda e: online.drain_stream(lines(e)), "append", "stream_drain")
+    return made.select(F.col("at").cast("long").alias("lid"), F.array_join("tpl", " ").alias("tpl"))
+
+
 # --- edits
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,9 +20,29 @@ _MAC = r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}"
 WINDOWS_PATH = r"[A-Z]:(?:\\[a-zA-Z0-9.*?_-]+)+"
 
 
-def expand_paths(paths: list[str], recursive: bool = False) -> list[str]:
-    """Files of the given files and directories, directories in sorted order; local paths only."""
+def expand_paths(paths: list[str], recursive: bool = False, spark: SparkSession | None = None) -> list[str]:
+    """Files of the given files, directories and patterns, each one's in sorted order; with ``spark`` in any file system that it knows."""
     out: list[str] = []
+    if spark is not None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            fs = p.getFileSystem(conf)
+            found = fs.globStatus(p)
+            if found is None or not len(found):
+                raise FileNotFoundError(path)
+            for status in found:
+                names: list[str] = []
+                if status.isFile():
+                    names.append(status.getPath().toString())
+                elif recursive:
+                    files = fs.listFiles(status.getPath(), True)
+                    while files.hasNext():
+                        names.append(files.next().getPath().toString())
+                else:
+                    names += [x.getPath().toString() for x in fs.listStatus(status.getPath()) if x.isFile()]
+                out += sorted(names)
+        return out
     for path in paths:
         if not os.path.isdir(path):
             out.append(path)
@@ -61,20 +82,23 @@ def number_lines(df: DataFrame, block: Column, *order: Column, start: int = 1, n
 
 
 def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file_no, line_no and value for every line of ``paths``, in their order; gz and bz2 are read by extension, bad bytes dropped.
+    """file_no, split, line_no and value for every line of ``paths``, in their order; gz and bz2 are read by extension, bad bytes dropped.
 
-    A file is one input split group; its line numbers follow the splits' byte order, which Spark's row ids within a scan keep.
+    All files are one scan. split is the byte at which a piece of a file begins, and line_no grows within it; together with file_no
+    (the file's first place in ``paths``) they tell the order.
     """
-    frames = []
+    if not paths:
+        return spark.createDataFrame([], "file_no int, split long, line_no long, value string")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    first: dict[str, int] = {}
     for i, path in enumerate(paths):
-        one = spark.read.text(path).select(F.lit(i).alias("file_no"), F.monotonically_increasing_id().alias("line_no"), T.valid_text(F.col("value")).alias("value"))
-        frames.append(one)
-    if not frames:
-        return spark.createDataFrame([], "file_no int, line_no long, value string")
-    out = frames[0]
-    for one in frames[1:]:
-        out = out.unionByName(one)
-    return out
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        first.setdefault(re.sub("^([a-z0-9]+):/+", r"\1:/", p.getFileSystem(conf).makeQualified(p).toUri().toString()), i)
+    numbers = spark.createDataFrame(list(first.items()), "__path string, file_no int")
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^([a-z0-9]+):/+", "$1:/")
+    lines = spark.read.text(sorted(set(paths))).select(path.alias("__path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line_no"), T.valid_text(F.col("value")).alias("value"))
+    # One row per file, a checked number.
+    return lines.join(F.broadcast(numbers) if len(first) <= 1_000_000 else numbers, "__path").select("file_no", "split", "line_no", "value")
 
 
 def token_pattern(keep: tuple[str, ...] = ()) -> str:
@@ -143,7 +167,7 @@ def read_log(spark: SparkSession, paths: list[str], fmt: LogFormat, aliases: Dat
     """(lines, rejects): the parsed lines (lid, dt, host, words, symbols) of all files in order, and the raw lines that failed."""
     parsed = parse_lines(scan_lines(spark, paths), fmt)
     good = normalise_hosts(parsed.where("words is not null"), aliases, drop_undefined, dummy)
-    numbered = number_lines(good, F.struct("file_no", F.shiftright("line_no", 16)), F.col("line_no"), start=first_lid)
+    numbered = number_lines(good, F.struct("file_no", "split", F.shiftright("line_no", 16)), F.col("line_no"), start=first_lid)
     return numbered.select("lid", "dt", "host", "words", "symbols"), rejects(parsed)
 
 

@@ -58,6 +58,14 @@ def test_commands_run(spark, site, capsys):
     assert "1.0" in capsys.readouterr().out
     log = LogStore(spark, f"{top}/store-import", "read").table("log")
     assert log.where("host not like 'host%'").isEmpty()
+    cli.main(["db-restore", "-c", conf, "-o", f"{top}/map"])
+    back = LogStore(spark, f"{top}/store-import", "read")
+    assert {" ".join(r.ltw) for r in back.table("lt").collect()} <= set(EXAMPLE_TEMPLATES)
+    assert back.table("log").where("host like 'host%' or array_contains(words, '##')").isEmpty()
+    cli.main(["db-anonymize", "-c", conf, "-o", f"{top}/map2", "--to", f"{top}/other"])
+    other = LogStore(spark, f"{top}/other", "read").table("log")
+    assert other.count() == back.table("log").count() and other.where("host not like 'host%'").isEmpty()
+    assert LogStore(spark, f"{top}/store-import", "read").table("log").where("host like 'host%'").isEmpty()
     assert Path(f"{top}/days").exists()
 
 
