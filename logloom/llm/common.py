@@ -50,14 +50,23 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it again.
 
-    Executors may be lost at any later time, since the files belong to none of them. The files go when the driver ends.
+    Executors may be lost at any later time, since the files belong to none of them. The files go by ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/logloom/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    made = spark.read.schema(schema).parquet(path)
+    made._ll_path = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``stored`` that nothing reads any more; what is no such table is left alone."""
+    path = getattr(df, "_ll_path", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

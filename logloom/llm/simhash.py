@@ -301,7 +301,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = None
     while True:
-        now = common.stored(star(star(now, True), False))
+        last = now
+        now = common.stored(star(star(last, True), False))
+        common.discard(last)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
