@@ -49,5 +49,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written and read again before the next."""
     docs = common.spread(common.table(spark, sf_dir, "documents"))
     for _, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir))
+        before, docs = docs, common.stored(stage(spark, docs, sf_dir))
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
