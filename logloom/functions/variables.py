@@ -23,12 +23,16 @@ IPV6 = "^(?:" + "|".join(
 ) + ")$"
 
 
+#: The same with the length of a network's prefix.
+IPV6_NETWORK = IPV6[:-1] + "/(?:12[0-8]|1[01][0-9]|[1-9]?[0-9])$"
+
+
 def is_ip(word: Column) -> Column:
     return word.rlike(IPV4) | word.rlike(IPV6)
 
 
 def is_network(word: Column) -> Column:
-    return word.rlike(IPV4_NETWORK)
+    return word.rlike(IPV4_NETWORK) | word.rlike(IPV6_NETWORK)
 
 
 def canonical_ip(word: Column) -> Column:

@@ -185,3 +185,22 @@ def test_groups(spark):
     meaning = {r.ltid: r.ltgid for r in grouping.by_meaning(lt, topics=2).collect()}
     assert set(meaning) == {0, 5, 9} and all(g is not None for g in meaning.values())
     assert [(r.ltid, r.ltgid) for r in grouping.remake(lt).orderBy("ltid").collect()] == [(0, 0), (5, 5), (9, 9)]
+
+
+def test_external_template_files():
+    assert generate.external_templates("a <*>\n\nb\n") == ["a <*>", "b"]
+    assert generate.external_templates("E1 a <*>\nE2 b c\n\n", "ids") == ["a <*>", "b c"]
+
+
+def test_shuffled_definitions_keep_each_once(spark):
+    d = spark.createDataFrame([(i, t.split()) for i, t in enumerate(TEMPLATES)], "defid long, tpl array<string>")
+    made = generate.shuffled(d, seed=2).orderBy("defid").collect()
+    assert [r.defid for r in made] == list(range(len(TEMPLATES)))
+    assert sorted(" ".join(r.tpl) for r in made) == sorted(TEMPLATES) and [" ".join(r.tpl) for r in made] != TEMPLATES
+
+
+def test_many_templates_are_numbered_in_blocks(spark):
+    df = spark.range(1, 200_001, 1, 8).selectExpr("id as lid", "array(cast(id % 150000 as string)) as tpl")
+    table = ids.template_table(df)
+    r = table.selectExpr("min(ltid) a", "max(ltid) b", "count(distinct ltid) n", "sum(if(ltid = first_lid - 1, 0, 1)) bad").first()
+    assert (r.a, r.b, r.n, r.bad) == (0, 149_999, 150_000, 0)

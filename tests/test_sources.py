@@ -100,3 +100,28 @@ def test_numbers_do_not_depend_on_partitions(spark):
 def test_definitions(spark, tmp_path):
     (tmp_path / "d.tpl").write_text("a ** b\n\nc d\na ** b\n")
     assert [(r.defid, r.tpl) for r in read_definitions(spark, str(tmp_path / "d.tpl")).orderBy("defid").collect()] == [(0, ["a", "**", "b"]), (1, ["c", "d"])]
+
+
+def test_paths_of_any_file_system(spark, tmp_path):
+    for name in ("b.log", "a.log", "deep/c.log"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"2020-01-01 00:00:00 h {name[-5]} x\n2020-01-01 00:00:01 h {name[-5]} y\n")
+    ends = lambda paths: [p.rsplit("/", 1)[1] for p in paths]
+    assert ends(expand_paths([str(tmp_path)], spark=spark)) == ["a.log", "b.log"]
+    assert ends(expand_paths([str(tmp_path)], True, spark)) == ["a.log", "b.log", "c.log"]
+    assert ends(expand_paths([f"file://{tmp_path}/?.log", str(tmp_path / "deep" / "c.log")], spark=spark)) == ["a.log", "b.log", "c.log"]
+    with pytest.raises(FileNotFoundError):
+        expand_paths([str(tmp_path / "none")], spark=spark)
+    lines, _ = read_log(spark, [str(tmp_path / "b.log"), *expand_paths([f"file://{tmp_path}/a.log"], spark=spark), str(tmp_path / "deep" / "c.log")], log_format("syslog"))
+    assert [r.words for r in lines.orderBy("lid").collect()] == [[a, b] for a in "bac" for b in "xy"]
+    assert read_log(spark, [], log_format("syslog"))[0].collect() == []
+
+
+def test_one_file_in_many_splits_keeps_its_order(spark, tmp_path):
+    (tmp_path / "long.log").write_text("".join(f"2020-01-01 00:00:00 h line {i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines, _ = read_log(spark, [str(tmp_path / "long.log")], log_format("syslog"))
+        assert [int(r.words[1]) for r in lines.orderBy("lid").collect()] == list(range(5000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

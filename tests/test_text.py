@@ -90,3 +90,11 @@ def test_durations():
         assert V.format_duration(V.parse_duration(text)) == text
     with pytest.raises(ValueError, match="not a duration"):
         V.parse_duration("5y")
+
+
+def test_networks(spark):
+    from logloom.functions import variables as V
+
+    words = {"10.0.0.0/8": True, "10.0.0.0/33": False, "2001:db8::/32": True, "fd00::1/129": False, "::/0": True, "fd00::1": False, "x/8": False}
+    got = {r.w: r.n for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", V.is_network(F.col("w")).alias("n")).collect()}
+    assert got == words
