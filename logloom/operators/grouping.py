@@ -37,7 +37,11 @@ def by_ngrams(lt: DataFrame, n: int = 3, th_lookup: float = 0.3, th_distance: fl
     best = pairs.groupBy("ltid").agg(F.max(F.struct("ratio", (-F.col("other")).alias("o"))).alias("b")).select("ltid", (-F.col("b.o")).alias("other"))
     joined = lt.select("ltid", "ltw").join(best, "ltid", "left").join(lt.select(F.col("ltid").alias("other"), F.col("ltw").alias("ow")), "other", "left")
     distance = F.when(F.col("other").isNotNull(), 2.0 * T.word_edit_distance(F.col("ltw"), F.col("ow")) / (F.size("ltw") + F.size("ow")))
-    linked = joined.select("ltid", F.when(distance < th_distance, F.col("other")).alias("other"))
+    return _followed(joined.select("ltid", F.when(distance < th_distance, F.col("other")).alias("other")))
+
+
+def _followed(linked: DataFrame) -> DataFrame:
+    """ltid, ltgid from links to earlier templates (ltid, other or null): groups are numbered as they come. One row of two numbers per template."""
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: dict[int, int] = {}
@@ -51,28 +55,25 @@ def by_ngrams(lt: DataFrame, n: int = 3, th_lookup: float = 0.3, th_distance: fl
     return linked.coalesce(1).sortWithinPartitions("ltid").mapInArrow(follow, "ltid long, ltgid long")
 
 
-def shingle_similarity(a: str, b: str, n: int = 3) -> float:
-    """Jaccard similarity of character n-grams; an approximation where no fuzzy hash library is there."""
-    x, y = ({t[i : i + n] for i in range(max(1, len(t) - n + 1))} for t in (a, b))
-    return len(x & y) / len(x | y) if x | y else 1.0
-
-
-def by_fuzzy_text(lt: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """ltid, ltgid: each template joins the most similar earlier one's group if it is similar enough. Approximate."""
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[tuple[str, int]] = []
-        for batch in batches:
-            out = []
-            for words in batch.column(1).to_pylist():
-                text = " ".join(words)
-                score, group = max(((shingle_similarity(text, t), -g) for t, g in seen), default=(0.0, 0))
-                mine = -group if seen and score >= threshold else len({g for _, g in seen})
-                seen.append((text, mine))
-                out.append(mine)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["ltid", "ltgid"])
+def by_fuzzy_text(lt: DataFrame, threshold: float = 0.5, n: int = 3) -> DataFrame:
+    """ltid, ltgid: each template joins the group of the most similar earlier one (the first of these), if it is similar enough.
 
-    return lt.select("ltid", "ltw").coalesce(1).sortWithinPartitions("ltid").mapInArrow(follow, "ltid long, ltgid long")
+    Similarity is that of the sets of character n-grams, an approximation where no fuzzy hash library is there. Candidates come from a
+    prefix filter: with grams in the order of their frequency, similar sets share one of their first k - threshold * k + 1, so frequent
+    grams make no pairs.
+    """
+    text = lt.select("ltid", F.array_join("ltw", " ").alias("t"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1)))
+    sets = text.select("ltid", F.array_distinct(F.transform(starts, lambda i: F.substr("t", i, F.lit(n)))).alias("g"))
+    flat = sets.select("ltid", F.explode("g").alias("x"))
+    ranked = flat.join(flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")), "x")
+    order = ranked.groupBy("ltid").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda v: v["x"]).alias("o"))
+    first = order.select("ltid", F.explode(F.slice("o", F.lit(1), (F.size("o") - F.ceil(threshold * F.size("o")) + 1).cast("int"))).alias("x"))
+    pairs = first.join(first.withColumnRenamed("ltid", "other"), "x").where("other < ltid").select("ltid", "other").distinct()
+    both = pairs.join(sets, "ltid").join(sets.select(F.col("ltid").alias("other"), F.col("g").alias("h")), "other")
+    scored = both.select("ltid", "other", (F.size(F.array_intersect("g", "h")) / F.size(F.array_union("g", "h"))).alias("s")).where(F.col("s") >= threshold)
+    best = scored.groupBy("ltid").agg((-F.max(F.struct("s", (-F.col("other")).alias("o")))["o"]).alias("other"))
+    return _followed(lt.select("ltid").join(best, "ltid", "left"))
 
 
 def tokens_for_meaning(lt: DataFrame, least_length: int = 2, stop_words: tuple[str, ...] = (), exceptions: tuple[str, ...] = ()) -> DataFrame:

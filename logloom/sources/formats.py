@@ -6,7 +6,9 @@ date (year-month-day), date6 (yymmdd), date8 (yyyymmdd), time6 (hhmmss), year2,
 
 from __future__ import annotations
 
+import os
 import re
+import runpy
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -102,5 +104,15 @@ FORMATS = {
 
 
 def log_format(name: str, year: int | None = None) -> LogFormat:
-    """A known grammar; ``year`` completes headers that have none."""
+    """A known grammar, or that of a script of the user's; ``year`` completes headers that have none."""
+    if name.endswith(".py"):
+        return load_format(name, year)
     return LogFormat(name, FORMATS[name], year)
+
+
+def load_format(path: str, year: int | None = None) -> LogFormat:
+    """The grammar of a Python file on the driver, which defines PATTERNS, a list of header patterns."""
+    found = runpy.run_path(path)
+    if not isinstance(found.get("PATTERNS"), list):
+        raise ValueError(f"{path} defines no list PATTERNS")
+    return LogFormat(os.path.basename(path).removesuffix(".py"), found["PATTERNS"], year)

@@ -208,3 +208,13 @@ def jdbc_table(spark: SparkSession, url: str, name: str, separator: str = "@@")
         if c in df.columns:
             df = df.withColumn(c, split_unescaped(F.col(c), separator))
     return df
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, separator: str = "@@", mode: str = "overwrite") -> None:
+    """A table into an SQL database, word lists encoded as ``jdbc_table`` reads them; words are escaped, so the separator is in none."""
+    from .functions.text import join_words
+
+    for field in df.schema:
+        if field.dataType.simpleString() == "array<string>":
+            df = df.withColumn(field.name, join_words(F.col(field.name), separator))
+    df.write.format("jdbc").options(url=url, dbtable=name).mode(mode).save()

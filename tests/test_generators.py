@@ -204,3 +204,22 @@ def test_many_templates_are_numbered_in_blocks(spark):
     table = ids.template_table(df)
     r = table.selectExpr("min(ltid) a", "max(ltid) b", "count(distinct ltid) n", "sum(if(ltid = first_lid - 1, 0, 1)) bad").first()
     assert (r.a, r.b, r.n, r.bad) == (0, 149_999, 150_000, 0)
+
+
+def test_fuzzy_groups_by_definition(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        words = list(rng.choice(texts)) if texts and rng.random() < 0.6 else [rng.choice("alpha beta gamma delta link lost found user login".split()) for _ in range(rng.randrange(1, 7))]
+        words[rng.randrange(len(words))] = rng.choice(["x", "yy", "zzz", "**", "alpha"])
+        texts.append(words)
+    sets = [{t[i : i + 3] for i in range(max(1, len(t) - 2))} for t in map(" ".join, texts)]
+    want = {}
+    for i, x in enumerate(sets):
+        near = [(len(x & sets[k]) / len(x | sets[k]), -k) for k in range(i)]
+        best = max((s for s in near if s[0] >= 0.5), default=None)
+        want[i] = want[-best[1]] if best else len(set(want.values()))
+    lt = spark.createDataFrame(list(enumerate(texts)), "ltid long, ltw array<string>").repartition(4)
+    assert {r.ltid: r.ltgid for r in grouping.by_fuzzy_text(lt).collect()} == want and 1 < len(set(want.values())) < 60

@@ -226,3 +226,21 @@ def test_modes():
 def test_append_doubles(spark, host_log):
     both = ids.append(host_log, host_log.withColumn("lid", F.col("lid") + 1))
     assert sorted(r.lid for r in both.collect()) == list(range(2 * len(HOSTS)))
+
+
+def test_tables_of_a_database(spark):
+    """Words go into an SQL database and come back, escapes and separators among them."""
+    from logloom.store import jdbc_table, write_jdbc
+
+    url = "jdbc:derby:memory:logloom;create=true"
+    rows = [(1, ["a", "\\@\\@", "**"], ["", " ", "", "!"], 3), (2, ["one"], None, 1)]
+    lt = spark.createDataFrame(rows, "ltid long, ltw array<string>, lts array<string>, n long")
+    try:
+        write_jdbc(lt, url, "lt")
+    except Exception as e:  # noqa: BLE001
+        if "ClassNotFound" in str(e) or "No suitable driver" in str(e):
+            pytest.skip("no database driver here")
+        raise
+    got = jdbc_table(spark, url, "lt").orderBy("ltid").collect()
+    assert [(r.ltid, r.ltw, r.n) for r in got] == [(r[0], r[1], r[3]) for r in rows]
+    assert got[0].lts == rows[0][2] and got[1].lts is None

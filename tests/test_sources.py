@@ -125,3 +125,12 @@ def test_one_file_in_many_splits_keeps_its_order(spark, tmp_path):
         assert [int(r.words[1]) for r in lines.orderBy("lid").collect()] == list(range(5000))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_grammar_of_the_users_own(spark, tmp_path):
+    (tmp_path / "own.py").write_text("PATTERNS = [r'(?P<date8>[0-9]{8})/(?P<time6>[0-9]{6}) (?P<host>[a-z]+) > (?P<statement>.*)']\n")
+    got = parse_lines(spark.createDataFrame([("20310304/050607 box > a b",)], "value string"), log_format(str(tmp_path / "own.py"))).first()
+    assert (got.dt, got.host, got.words) == (datetime(2031, 3, 4, 5, 6, 7), "box", ["a", "b"])
+    (tmp_path / "none.py").write_text("x = 1\n")
+    with pytest.raises(ValueError, match="PATTERNS"):
+        log_format(str(tmp_path / "none.py"))
