@@ -35,12 +35,13 @@ def _frequent(counted: DataFrame, method: str, threshold: float, total: Column)
     elif method == "relative-line":
         limit = threshold * total
     elif method == "relative-variable":
-        limit = F.element_at(F.array_sort("counts"), (F.floor(F.lit(threshold) * F.size("counts")) + 1).cast("int"))
+        limit = F.element_at(F.sort_array("counts"), (F.floor(F.lit(threshold) * F.size("counts")) + 1).cast("int"))
     else:
         raise ValueError(f"unknown method {method}")
-    limited = counted.withColumn("__limit", limit)
-    enough = (lambda n: n >= F.col("__limit")) if method == "relative-variable" else (lambda n: n > F.col("__limit"))
-    return limited.select("lid", F.zip_with("words", "counts", lambda w, n: F.when(enough(n), w).otherwise(T.WILDCARD)).alias("tpl"))
+    enough = (lambda n, at: n >= at) if method == "relative-variable" else (lambda n, at: n > at)
+    # A lambda variable holds the line's limit, which would be computed anew for every word else.
+    made = F.transform(F.array(limit), lambda at: F.zip_with("words", "counts", lambda w, n: F.when(enough(n, at), w).otherwise(T.WILDCARD)))
+    return counted.select("lid", F.element_at(made, 1).alias("tpl"))
 
 
 def by_running_frequency(lines: DataFrame, method: str = "relative-variable", threshold: float = 0.4, block: int | None = None) -> DataFrame:
