@@ -508,8 +508,8 @@ def merged_prefixes(lines: DataFrame, rules: VariableRules = DIGITS) -> DataFram
     their later words compared, up to the shortest message. Nothing has to be read in order, and a line of n words costs n rows and no
     n x n pairs.
     """
-    primary = lines.select("lid", rules.template(F.col("words")).alias("ptpl"))
-    distinct = primary.groupBy("ptpl").agg(F.count(F.lit(1)).alias("c"), F.min("lid").alias("pid"))
+    primary = lines.select("lid", rules.template(F.col("words")).alias("ptpl")).withColumn("h", F.xxhash64("ptpl"))  # a short key in front of the long one
+    distinct = primary.groupBy("h", "ptpl").agg(F.count(F.lit(1)).alias("c"), F.min("lid").alias("pid"))
     literals = distinct.withColumn("lits", T.description(F.col("ptpl")))
     # Where messages are sorted, a neighbour shares the longest prefix; what is longer is one message's own and is not named at all.
     dealt = literals.select("pid", "c", "lits").repartitionByRange("lits").sortWithinPartitions("lits")
@@ -525,8 +525,8 @@ def merged_prefixes(lines: DataFrame, rules: VariableRules = DIGITS) -> DataFram
     agreed = words.groupBy("u", "ud", "at").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).where("lo = hi").select("u", (F.col("ud") + F.col("at") + 2).alias("d"))
     hits = parting.select("pid", "u", "ud").join(agreed, "u").select("pid", F.explode(F.array("ud", "d")).alias("d"))
     kept = alike.unionByName(hits).groupBy("pid").agg(F.collect_set("d").alias("kept"))
-    finished = literals.select("pid", "ptpl").join(kept, "pid", "left").select("ptpl", "kept").mapInArrow(_kept_words, "ptpl array<string>, tpl array<string>")
-    return primary.join(finished, "ptpl").select("lid", "tpl")
+    finished = literals.select("h", "pid", "ptpl").join(kept, "pid", "left").select("h", "ptpl", "kept").mapInArrow(_kept_words, "h long, ptpl array<string>, tpl array<string>")
+    return primary.join(finished, ["h", "ptpl"]).select("lid", "tpl")
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -580,13 +580,13 @@ def _kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Messages with their templates: the literals at the places ``kept``, and wildcards."""
     for batch in batches:
         made = []
-        for ptpl, kept in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for ptpl, kept in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             own, d, tpl = set(kept or ()), -1, []
             for w in ptpl:
                 d += w != WILD
                 tpl.append(w if w != WILD and d in own else WILD)
             made.append(tpl)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], ["ptpl", "tpl"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.string()))], ["h", "ptpl", "tpl"])
 
 
 #: Generators by name: (function of lines, whether it depends on order, whether it may run on a stream).
