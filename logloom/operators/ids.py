@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.parse import number_lines
-
 
 def template_table(mined: DataFrame, key: str = "tpl", template: str = "tpl") -> DataFrame:
     """ltid, ltw, lts, count, first_lid of each distinct ``key`` of ``mined`` (lid, symbols if there, key, template).
 
-    Ids count up in the order of first lines; symbols are those of the first line. Templates are numbered within blocks of first lines,
-    so however many there are, no task sorts them all.
+    Ids count up in the order of first lines; symbols are those of the first line. One task ranks one row per template: numbering them
+    in blocks would mine everything twice, as the blocks' sizes have to be known first.
     """
     symbols = [F.min_by("symbols", "lid").alias("lts")] if "symbols" in mined.columns else [F.lit(None).cast("array<string>").alias("lts")]
     shape = F.col(key).alias("ltw") if key == template else F.max_by(template, "lid").alias("ltw")
     grouped = mined.groupBy(F.col(key).alias("__key")).agg(F.min("lid").alias("first_lid"), F.count(F.lit(1)).alias("count"), *symbols, *([] if key == template else [shape]))
     if key == template:
         grouped = grouped.withColumn("ltw", F.col("__key"))
-    ranked = number_lines(grouped, F.shiftright(F.col("first_lid").cast("long"), 16), F.col("first_lid"), start=0, name="ltid")
+    ranked = grouped.withColumn("ltid", (F.row_number().over(Window.orderBy("first_lid")) - 1).cast("long"))
     return ranked.select("ltid", "ltw", "lts", "count", "first_lid", "__key")
 
 

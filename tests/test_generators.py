@@ -199,7 +199,7 @@ def test_shuffled_definitions_keep_each_once(spark):
     assert sorted(" ".join(r.tpl) for r in made) == sorted(TEMPLATES) and [" ".join(r.tpl) for r in made] != TEMPLATES
 
 
-def test_many_templates_are_numbered_in_blocks(spark):
+def test_many_templates_are_numbered(spark):
     df = spark.range(1, 200_001, 1, 8).selectExpr("id as lid", "array(cast(id % 150000 as string)) as tpl")
     table = ids.template_table(df)
     r = table.selectExpr("min(ltid) a", "max(ltid) b", "count(distinct ltid) n", "sum(if(ltid = first_lid - 1, 0, 1)) bad").first()
