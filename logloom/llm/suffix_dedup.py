@@ -36,7 +36,7 @@ from . import common
 LENGTH = 100
 GRAM = 32
 #: Rows of one key in one part of a map from which on they go to the next round by themselves.
-HOT = 16
+HOT = 4
 #: Bytes that a map task hashes at once; it needs about 60 times as much memory.
 PART_BYTES = 2 << 20
 _RNG = np.random.default_rng(20240229)
