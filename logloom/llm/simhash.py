@@ -4,7 +4,7 @@ Every text gets a 64-bit fingerprint: a bit is 1 if it is set in over half of th
 link if at most ``radius`` bits differ. The fingerprint is cut into blocks such that any linked pair agrees on some fixed number of
 them; each combination of that many blocks is a table, and only fingerprints that agree on a combination's bits are compared.
 
-The comparison is vertical: the differences of up to 4,096 pairs are stored as 64 bit planes, carry-save counters add plane after
+The comparison is vertical: the differences of up to 16,384 pairs are stored as 64 bit planes, carry-save counters add plane after
 plane for all pairs at once, and a block is abandoned as soon as every pair in it exceeds the radius.
 
 Scale: equal fingerprints collapse before anything is compared, by a partial aggregation. What is shuffled is fingerprints of 8 bytes,
@@ -16,7 +16,7 @@ links in a bucket only a spanning forest leaves the task, which keeps every comp
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from . import common
 SEED = 42
 #: Ids with a few numbers each go to all executors up to so many rows (about 24 bytes each), and are joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
+#: Pairs that are compared at once.
+BLOCK = 16_384
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -38,23 +40,45 @@ def fingerprint(words: list[bytes], width: int) -> int:
         return 0
     n = max(1, len(words) - width + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    h = np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(n)), dtype=np.uint64, count=n)
+    return _majority(np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
-    for begin in range(0, n, 1 << 16):
+    for begin in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[begin : begin + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """One hash for each word; all that is known of a text's words and shingles comes from these."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), dtype=np.uint64, count=len(words))
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def set_fingerprint(words: list[bytes]) -> int:
     """The SimHash of the distinct words, which stays close where few words change."""
-    return fingerprint(sorted(set(words)), 1)
+    return _majority(_distinct(word_hashes(words)))
 
 
 def shingles(words: list[bytes], width: int) -> np.ndarray:
     """The hashes of the text's distinct shingles in ascending order; a shorter text is one shingle."""
-    n = max(1, len(words) - width + 1)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    return np.unique(np.fromiter((digest(join(words[i : i + width]), SEED + 1) for i in range(n)), dtype=np.uint64, count=n))
+    return _shingles(word_hashes(words), width)
+
+
+def _shingles(w: np.ndarray, width: int) -> np.ndarray:
+    """The same from the hashes of the words, which are chained for all shingles at once."""
+    n = max(1, len(w) - width + 1)
+    h = np.full(n, SEED + 1, dtype=np.uint64)
+    for k in range(min(width, len(w))):
+        h = (h ^ w[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return _distinct(h)
 
 
 def set_key(h: np.ndarray) -> int:
@@ -71,10 +95,10 @@ def sketch(words: list[bytes], width: int) -> bytes:
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    bins, first = np.unique((h >> np.uint64(56)).astype(np.int64), return_index=True)
+    bins = (h >> np.uint64(56)).astype(np.int64)
     at = np.searchsorted(bins, np.arange(256)) % len(bins)
     away = ((bins[at] - np.arange(256)) % 256).astype(np.uint64)
-    value = h[first][at] + away * np.uint64(0x9E3779B97F4A7C15)
+    value = h[at] + away * np.uint64(0x9E3779B97F4A7C15)
     value = (value ^ (value >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return np.packbits((value >> np.uint64(40)).astype(np.uint8) & 1).tobytes()
 
@@ -87,9 +111,9 @@ def with_sketches(docs: DataFrame, width: int) -> DataFrame:
             for part in common.parts(batch):
                 fps, sketches, keys, sizes = [], [], [], []
                 for x in common.utf8(part.column(1)):
-                    words = x.translate(_LOWER).split()
-                    h = shingles(words, width)
-                    fps.append(set_fingerprint(words))
+                    w = word_hashes(x.translate(_LOWER).split())
+                    h = _shingles(w, width)
+                    fps.append(_majority(_distinct(w)))
                     sketches.append(_sketch(h))
                     keys.append(set_key(h))
                     sizes.append(len(h))
@@ -115,9 +139,18 @@ def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
 
 def planes(differences: np.ndarray) -> np.ndarray:
-    """Bit planes of 64-bit words: row b holds bit b of every word, packed."""
-    bits = np.unpackbits(differences.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little")
+    """Bit planes of 64-bit words: row b holds bit b of every word, packed.
+
+    Eight words are eight 8 x 8 bit matrices, each in one word, which are transposed by three rounds of swaps.
+    """
+    groups = -(-len(differences) // 8)
+    words = np.zeros((groups, 8), dtype="<u8")
+    words.reshape(-1)[: len(differences)] = differences
+    x = np.ascontiguousarray(words.view(np.uint8).reshape(groups, 8, 8).transpose(2, 0, 1)).view("<u8")
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        swap = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x = x ^ swap ^ (swap << np.uint64(shift))
+    return np.ascontiguousarray(x.view(np.uint8).reshape(8, groups, 8).transpose(0, 2, 1)).reshape(64, groups)
 
 
 def within(differences: np.ndarray, radius: int) -> np.ndarray:
@@ -178,22 +211,30 @@ class _Forest:
 def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
     """Spanning links among rows of equal key, rows being sorted by key: row i against row i + lag, all lags, in blocks.
 
+    A block is filled from as many lags as it takes: where one bucket is larger than the others, a lag has few pairs.
     sketches: rows of four words; if given, a link also needs at most ``most`` differing bits there.
     """
     links, forest = [], _Forest()
     at = np.arange(len(keys))
     last = np.searchsorted(keys, keys, side="right")
-    lag = 1
+    lag, waiting, held = 1, [], 0
     while True:
         at = at[at + lag < last[at]]
+        if len(at):
+            waiting.append((at, at + lag))
+            held += len(at)
+        if held >= BLOCK or held and not len(at):
+            left, right = map(np.concatenate, zip(*waiting, strict=True))
+            whole = held - held % BLOCK if len(at) else held
+            waiting, held = [(left[whole:], right[whole:])], held - whole
+            for begin in range(0, whole, BLOCK):
+                a, b = (x[begin : min(begin + BLOCK, whole)] for x in (left, right))
+                near = np.flatnonzero(within(fps[a] ^ fps[b], radius))
+                if sketches is not None and len(near):
+                    near = near[np.bitwise_count(sketches[a[near]] ^ sketches[b[near]]).sum(axis=1) <= most]
+                links += [x for x in zip(a[near].tolist(), b[near].tolist(), strict=True) if forest.join(*x)]
         if not len(at):
             return links
-        for begin in range(0, len(at), 4096):
-            left = at[begin : begin + 4096]
-            near = left[within(fps[left] ^ fps[left + lag], radius)]
-            if sketches is not None and len(near):
-                near = near[np.bitwise_count(sketches[near] ^ sketches[near + lag]).sum(axis=1) <= most]
-            links += [(int(i), int(i) + lag) for i in near if forest.join(int(i), int(i) + lag)]
         lag += 1
 
 
@@ -344,8 +385,8 @@ def _last_shingles(docs: DataFrame, width: int, share: int = 16, least: int = 8,
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.parts(batch):
-                for x in common.utf8(part.column(1)):
-                    yield pa.RecordBatch.from_arrays([pa.array(shingles(x.translate(_LOWER).split(), width).view(np.int64))], ["token"])
+                tokens = [shingles(x.translate(_LOWER).split(), width) for x in common.utf8(part.column(1))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64))], ["token"])
 
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
     counts = some.mapInArrow(made, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -386,8 +427,9 @@ def shared_prefixes(docs: DataFrame, nodes: DataFrame, width: int, similarity: f
                         continue
                     if len(known):
                         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        rank = np.where(known[at] == h, order[at], -1)
-                        h = h[np.argsort(rank, kind="stable")]
+                        often = known[at] == h
+                        if often.any():
+                            h = np.concatenate([h[~often], h[often][np.argsort(order[at[often]])]])
                     n = len(h)
                     p = n - int(np.ceil(similarity * n - 1e-6)) + 1
                     out.append((h[:p].view(np.int64), np.arange(p), np.full(p, n), np.full(p, node), np.full(p, component)))
